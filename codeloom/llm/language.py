@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,15 +17,27 @@ from codeloom.llm.common import BOUND_ROWS, hash_unit
 #: Bounds of what the dictionaries are made of: documents of each language on average, and bytes of each dictionary.
 DOCS_PER_LANGUAGE = 160
 DICTIONARY_BYTES = 96_000
-#: A prediction is rejected if the second language makes a text less than this part larger, or no more bytes larger.
-MARGIN, MARGIN_BYTES = 0.004, 1
-LEVEL = 3
+#: A prediction is rejected if the second language's dictionary makes a text larger by no more than this part of it.
+MARGIN = 0.004
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """What is compressed: words in lower case with single spaces, so that capitals, digits and marks have no say."""
+    return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+
+
+def settings(size: int) -> zstandard.ZstdCompressionParameters:
+    """Matches from three bytes, parsed optimally: related languages differ in short syllables."""
+    return zstandard.ZstdCompressionParameters.from_level(3, dict_size=size, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw-content dictionaries from rows (text, lang, key): the driver gets a sample of a fixed mean size per language.
+    """Raw-content dictionaries from rows (text, lang, key), the commonest language first.
+
+    The driver gets a sample of a fixed mean size per language.
 
     The number of languages is checked; a document enters whole, the sample is fixed by a hash of ``key``.
     """
@@ -42,37 +55,39 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: i
     out = {}
     for lang, texts in got.items():
         parts, left = [], size
-        for data in (text.encode() for _, text in sorted(set(texts))):
+        for data in (letters(text) for _, text in sorted(set(texts))):
             if len(data) <= left:  # a longer document is left out of the dictionary, unless it is the only one
                 parts.append(data)
                 left -= len(data)
-        out[lang] = b"\n".join(parts or [min(texts)[1].encode()[:size]])
-    return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
+        out[lang] = b" ".join(parts or [letters(min(texts)[1])[:size]])
+    return {k: out[k] for k in sorted(out, key=lambda k: (-counts[k], k)) if len(out[k]) >= 8}
 
 
 class Judge:
     """Compressed sizes of a text against each language's dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.packers = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            how = settings(len(dictionaries[lang]))
+            d.precompute_compress(compression_params=how)
+            self.packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score from 0 to 1, rejected). No letter: ``und``, 0, rejected. Equal sizes: the first by name, rejected."""
+        """(language, score from 0 to 1, rejected). No letter: ``und``, 0, rejected. Equal sizes: the commoner language, rejected."""
         if not text or not LETTER.search(text):
             return UNKNOWN, 0.0, True
         if not self.langs:
             return UNKNOWN, 0.0, True
-        data = text.encode("utf-8", "replace")
-        sizes = sorted((len(p.compress(data)), lang) for p, lang in zip(self.packers, self.langs, strict=True))
+        data = letters(text)
+        sizes = sorted((len(p.compress(data)), k) for k, p in enumerate(self.packers))
+        best = self.langs[sizes[0][1]]
         if len(sizes) == 1:
-            return sizes[0][1], 1.0, False
+            return best, 1.0, False
         gap = sizes[1][0] - sizes[0][0]
-        return sizes[0][1], 1 - 0.5 * math.exp(-0.1 * gap), gap <= max(MARGIN_BYTES, MARGIN * sizes[1][0])
+        return best, 1 - 0.5 * math.exp(-0.1 * gap), gap <= MARGIN * sizes[1][0]
 
 
 def identify(dictionaries: dict[str, bytes], text: Column) -> Column:
