@@ -18,7 +18,7 @@ THRESHOLD = 0.9
 #: work only, never a result.
 SAMPLE = 4_096
 #: Vectors of a cell that is worth having, and of a tile; dimensions that are added before bounds are looked at again.
-CELL, TILE, BLOCK, STEP = 8_192, 4_096, 1_024, 8
+CELL, TILE, BLOCK, STEP = 8_192, 8_192, 1_024, 8
 #: A cosine this close to the threshold is computed again from the vectors as they were given.
 CLOSE = 1e-9
 
@@ -29,75 +29,72 @@ def rotation(sample: np.ndarray) -> np.ndarray:
     return vectors[:, ::-1].copy()
 
 
-def suffixes(x: np.ndarray, steps: list[int]) -> np.ndarray:
-    """Norms of what follows each of the given dimensions."""
-    tail = np.cumsum((x * x)[:, ::-1], 1)[:, ::-1]
-    return np.sqrt(np.concatenate([tail, np.zeros((len(x), 1))], 1))[:, steps]
+class Tile:
+    """Vectors with ids and weights, ready to be compared: rotated unit vectors, suffix norms, and the vectors scaled."""
 
+    def __init__(self, ids: list[int], weights: list[int], vectors: list[np.ndarray], basis: np.ndarray):
+        self.ids, self.weights = np.array(ids, dtype=np.int64), np.array(weights, dtype=np.int64)
+        raw = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        self.scaled = raw / np.abs(raw).max(1, keepdims=True)
+        self.norms = np.linalg.norm(self.scaled, axis=1)
+        self.turned = (self.scaled / self.norms[:, None]) @ basis
+        d = self.turned.shape[1]
+        self.steps = [s for s in (2 * STEP, 3 * STEP, 4 * STEP, 6 * STEP) if s < d] + [d]
+        tail = np.cumsum((self.turned * self.turned)[:, ::-1], 1)[:, ::-1]
+        self.suffix = np.sqrt(np.concatenate([tail, np.zeros((len(raw), 1))], 1))[:, self.steps]
+        # product of the leading dimensions plus that of the suffix norms, as one product: the bound for each pair
+        self.head = np.concatenate([self.turned[:, : self.steps[0]], self.suffix[:, :1]], 1).astype(np.float32)
+        self.links = np.zeros(len(raw), dtype=np.int64)
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float, raw_a: np.ndarray, raw_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the pairs with cosine >= threshold of two tiles of rotated unit vectors.
+
+def linked(a: Tile, b: Tile, threshold: float, p: slice, q: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs with cosine >= threshold of parts p and q of two tiles.
 
     Products are added up over leading dimensions first. What the rest can add is at most the product of the suffix
-    norms; a pair (and a row or column without pairs) is given up as soon as the threshold is out of reach.
+    norms; a pair is given up as soon as the threshold is out of reach. The first bound is in single precision, with room
+    for its error; everything after it is in double precision.
     """
-    d = a.shape[1]
-    steps = [s for s in [STEP * 2, STEP * 3, STEP * 4, STEP * 6] if s < d] + [d]
-    sa, sb = suffixes(a, steps), suffixes(b, steps)
-    low = threshold - 1e-7
-    got = a[:, : steps[0]] @ b[:, : steps[0]].T
-    alive = got >= low - sa[:, :1] * sb[None, :, 0]
-    r, c = np.nonzero(alive)
-    got = got[r, c]
-    for k in range(1, len(steps)):
+    reach = (a.head[p] @ b.head[q].T >= np.float32(threshold - 1e-5)).ravel()
+    at = np.flatnonzero(reach)
+    width = b.head[q].shape[0]
+    r, c = at // width + p.start, at % width + q.start
+    got = np.zeros(len(r))
+    for k, end in enumerate(a.steps):
         if not len(r):
             return r, c
-        s = slice(steps[k - 1], steps[k])
-        got = got + np.einsum("ij,ij->i", a[r, s], b[c, s])
-        ok = got >= low - sa[r, k] * sb[c, k]
+        part = slice(a.steps[k - 1] if k else 0, end)
+        got = got + np.einsum("ij,ij->i", a.turned[r, part], b.turned[c, part])
+        ok = got >= threshold - 1e-7 - a.suffix[r, k] * b.suffix[c, k]
         r, c, got = r[ok], c[ok], got[ok]
     near = np.abs(got - threshold) <= CLOSE
     if near.any():
-        x, y = raw_a[r[near]], raw_b[c[near]]
-        got[near] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+        x, y = r[near], c[near]
+        got[near] = np.einsum("ij,ij->i", a.scaled[x], b.scaled[y]) / (a.norms[x] * b.norms[y])
     ok = got >= threshold
     return r[ok], c[ok]
 
 
-def compare(rows: list[tuple], basis: np.ndarray, threshold: float) -> Iterator[tuple]:
-    """One pair of tiles: rows (grp, i, j, tile, visitor, node, weight, vector) to (node, links, other)."""
-    _, i, j = rows[0][:3]
-    ids = [np.array([x[5] for x in rows if x[3] == t], dtype=np.int64) for t in (i, j)]
-    if not len(ids[0]) or not len(ids[1]):
-        return
-    weight = [np.array([x[6] for x in rows if x[3] == t], dtype=np.int64) for t in (i, j)]
-    raw = [np.stack([np.asarray(x[7], dtype=np.float64) for x in rows if x[3] == t]) for t in (i, j)]
-    guest = [np.array([x[4] for x in rows if x[3] == t]) for t in (i, j)]
-    unit = [(u := x / np.abs(x).max(1, keepdims=True)) / np.linalg.norm(u, axis=1, keepdims=True) for x in raw]
-    scaled = [x / np.abs(x).max(1, keepdims=True) for x in raw]
-    turned = [u @ basis for u in unit]
-    links = [np.zeros(len(x), dtype=np.int64) for x in ids]
+def compare(a: Tile, b: Tile, threshold: float) -> Iterator[tuple]:
+    """Rows (node, links, other) of a forest of the links between two tiles, or within one; counts go to the tiles."""
     us, vs = [], []
-    for p in range(0, len(ids[0]), BLOCK):
-        for q in range(p if i == j else 0, len(ids[1]), BLOCK):
-            r, c = linked(turned[0][p : p + BLOCK], turned[1][q : q + BLOCK], threshold, scaled[0][p : p + BLOCK], scaled[1][q : q + BLOCK])
-            r, c = r + p, c + q
-            ok = ~(guest[0][r] & guest[1][c])  # two visitors of a cell meet elsewhere
-            if i == j:
-                ok &= r < c
-            r, c = r[ok], c[ok]
-            np.add.at(links[0], r, weight[1][c])
-            np.add.at(links[1], c, weight[0][r])
-            tree = forest(ids[0][r], ids[1][c])
+    for p in range(0, len(a.ids), BLOCK):
+        for q in range(p if a is b else 0, len(b.ids), BLOCK):
+            r, c = linked(a, b, threshold, slice(p, min(p + BLOCK, len(a.ids))), slice(q, min(q + BLOCK, len(b.ids))))
+            if a is b:
+                r, c = r[r < c], c[r < c]
+            np.add.at(a.links, r, b.weights[c])
+            np.add.at(b.links, c, a.weights[r])
+            tree = forest(a.ids[r], b.ids[c])
             us += [u for u, _ in tree]
             vs += [v for _, v in tree]
-    for side in (0, 1):
-        for k in np.flatnonzero(links[side]):
-            yield int(ids[side][k]), int(links[side][k]), None
     for u, v in forest(np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64)):
         yield u, None, v
 
 
+def counts(t: Tile) -> list[tuple]:
+    return [(int(t.ids[k]), int(t.links[k]), None) for k in np.flatnonzero(t.links)]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of (vec_id, embedding).
 
@@ -105,7 +102,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     its own cell's, and visits each cell of a lower number that may hold a vector within reach of it. By the bisecting
     plane of two centres p and q, a vector of cell p is within e = sqrt(2 - 2 t) of x only if x . (q - p) <= e |q - p|;
     so no pair is lost, and each pair meets once, in the lower of its cells. A cell of many vectors is cut into tiles,
-    and each pair of tiles is a task of its own. Links leave a task as counts and as a forest.
+    each of which is compared in a task of its own with itself, later tiles and visitors, a piece at a time. Links leave a task as counts and as a forest.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing.
     Vectors of different length do not link. Rows of one id are one vector.
@@ -160,29 +157,52 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
             take = b.iloc[r]
             yield pd.DataFrame({"grp": c.astype("int64"), "visitor": c != home[r], "node": take["node"].to_numpy(), "weight": take["weight"].to_numpy(), "v": take["v"].to_numpy()})
 
-    placed = nodes.mapInPandas(place, "grp long, visitor boolean, node long, weight long, v array<double>")
-    if cells == 1 and n <= TILE:
-        met = placed.select("grp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("tile"), "visitor", "node", "weight", "v")
-    else:
-        placed = stash(placed, "cells")
-        sizes = placed.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
-        met = placed.join(F.broadcast(sizes), "grp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))  # a row for each cell
-        met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-        met = met.select("grp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "visitor", "node", "weight", "v")
+    placed = stash(nodes.mapInPandas(place, "grp long, visitor boolean, node long, weight long, v array<double>"), "cells")
+    # vectors at home in a cell are cut into tiles; a tile meets itself, the later tiles and the visitors, in its own task
+    sizes = placed.where("not visitor").groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
+    met = placed.join(F.broadcast(sizes), "grp")  # a row for each cell
+    met = met.withColumn("own", F.when(F.col("visitor"), F.col("tiles")).otherwise(F.pmod(F.xxhash64("node"), F.col("tiles"))).cast("int"))
+    met = met.select("grp", "own", "node", "weight", "v", F.explode(F.sequence(F.lit(0), F.least("own", F.col("tiles") - 1))).alias("i"))
+    met = met.select("grp", "i", (F.col("own") != F.col("i")).alias("probe"), "node", "weight", "v")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = lambda out: pd.DataFrame(out, columns=["node", "links", "other"]).astype({"links": "Int64", "other": "Int64"})
-        held: list[tuple] = []
+        task, held, tile = None, [], None  # the rows not yet compared, of the tile or of those that meet it
+
+        def meet() -> Iterator[tuple]:
+            nonlocal tile, held
+            if held:
+                now = Tile(*zip(*held, strict=True), basis)
+                held = []
+                if tile is None:
+                    tile = now
+                    yield from compare(now, now, threshold)
+                else:
+                    yield from compare(tile, now, threshold)
+                    yield from counts(now)
+
         for b in batches:
-            for row in zip(*(b[c].tolist() for c in ("grp", "i", "j", "tile", "visitor", "node", "weight", "v")), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield frame(list(compare(held, basis, threshold)))
-                    held = []
+            out: list[tuple] = []
+            for grp, i, probe, *row in zip(*(b[c].tolist() for c in ("grp", "i", "probe", "node", "weight", "v")), strict=True):
+                if task != (grp, i):
+                    out += meet()
+                    out += counts(tile) if tile is not None else []
+                    task, tile, looking = (grp, i), None, False
+                if probe and not looking:
+                    out += meet()
+                    looking = True
+                if looking and tile is None:
+                    continue  # a tile that no vector fell to
                 held.append(row)
-        if held:
-            yield frame(list(compare(held, basis, threshold)))
-
-    return stash(met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInPandas(run, "node long, links long, other long"), "links")
+                if looking and len(held) >= TILE:
+                    out += meet()
+            yield frame(out)
+        out = list(meet())
+        yield frame(out + (counts(tile) if tile is not None else []))
+
+    # a tile's own rows come first, then those that it meets, in pieces
+    met = met.repartition("grp", "i").sortWithinPartitions("grp", "i", "probe")
+    return stash(met.select("grp", "i", "probe", "node", "weight", "v").mapInPandas(run, "node long, links long, other long"), "links")
 
 
 #: DuckDB: all pairs of usable vectors; for the small tables of a check only.
