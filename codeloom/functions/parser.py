@@ -814,7 +814,8 @@ class Parser:
                 self.expression(b, self.i)
             self.declare("LOOP_VARIABLE", variable, head)
             span, text = (a, self.i), self.text(head, self.i)
-        self.need("LOOP")
+        if u != "LOOP":
+            self.need("LOOP")
         row = self.step(path, kind, begin, text, label=label, span=span)
         self.loops += 1
         try:

@@ -254,10 +254,10 @@ class _Eval:
         return self.default
 
 
-def evaluate(text: str, flags: dict[str, Any], default: Any = None) -> tuple[bool | None, bool]:
+def evaluate(text: str, flags: dict[str, Any] | None = None, default: Any = None) -> tuple[bool | None, bool]:
     """(value, whether every name in it was known). What cannot be read is unknown."""
     try:
-        e = _Eval(text, flags, default)
+        e = _Eval(text, flags or {}, default)
         v = e.whole()
         return (v if isinstance(v, bool) else None), e.known
     except ValueError:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +16,27 @@ from codeloom.plans.engine import Analysis
 VERDICTS = ("VERIFIED", "VERIFIED_WITH_WARNINGS", "NOT_VERIFIED")
 
 
+def listing(folder: str, spark) -> DataFrame:
+    """(path, content) of all files of a folder that every executor mounts. Spark's own file sources pass over names
+    that begin with an underscore; the driver lists names only, the executors read."""
+    names = [os.path.relpath(os.path.join(d, n), folder) for d, _, found in os.walk(folder) for n in found]
+
+    def read(batches):
+        for b in batches:
+            out = []
+            for n in b["path"]:
+                with open(os.path.join(folder, n), "rb") as f:
+                    out.append((n, f.read()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return spark.createDataFrame([(n,) for n in sorted(names)], "path string").mapInPandas(read, "path string, content binary")
+
+
 def links(folder: str, spark) -> DataFrame:
     """Links of all Markdown files that lead nowhere: (path, target). Fenced code and code spans do not count."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    base = "file:" + os.path.abspath(folder) + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + base.replace(".", r"\."), "")
-    known = read.select(rel.alias("target")).distinct()
+    read = listing(folder, spark)
+    rel = F.col("path")
+    known = read.select(F.col("path").alias("target")).distinct()
     line = read.withColumn("rel", rel).where("rel like '%.md'").select("rel", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("k", "text"))
     w = Window.partitionBy("rel").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     line = line.withColumn("mark", F.col("text").rlike(r"^\s*```").cast("int")).withColumn("open", F.sum("mark").over(w) % 2).where("open = 0 and mark = 0")
@@ -51,10 +67,7 @@ def checks(a: Analysis, folder: str) -> DataFrame:
     odd = a.outline_mismatch.count()
     trip = roundtrip(a).first().asDict()
     expected = cards(a).select(F.explode(F.array(F.concat("path", F.lit(".md")), F.concat("path", F.lit(".json")))).alias("path"))
-    have = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    base = "file:" + os.path.abspath(folder) + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + base.replace(".", r"\."), "")
-    have = have.select(rel.alias("path"), F.sha2("content", 256).alias("digest"))
+    have = listing(folder, spark).select("path", F.sha2("content", 256).alias("digest"))
     absent = expected.join(have, "path", "left_anti").count()
     broken = links(folder, spark).count()
     content = F.col("content") if "content" in a.files.columns else F.encode("text", "UTF-8")
