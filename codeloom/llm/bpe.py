@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose encoding a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 150_000
+MEMORY = 400_000
 
 
 def read_ranks(data: bytes) -> list[bytes]:
