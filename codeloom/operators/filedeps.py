@@ -17,10 +17,10 @@ def evidence(c: F.Column) -> F.Column:
 
 
 def file_edges(edge: DataFrame, node: DataFrame, unit: DataFrame, ref: DataFrame, table_def: DataFrame) -> DataFrame:
-    """(src, dst, type, count, evidence) between different files, by type and names.
+    """(src, dst, type, count, evidence) of files that need others, by type and names.
 
     CALLS: a routine of src calls one of dst. SPEC_BODY: a body needs its specification. NEEDS_DDL: src uses a table
-    that dst creates. SHARED_TABLE: both touch a table that one of them writes; src is the lesser name.
+    that dst creates. Files that merely share a table are in ``shared_tables``: pairs, of which there are far more.
     """
     place = node.where("type in ('ROUTINE', 'UNIT_BLOCK')").select("id", "file")
     c = edge.where("type = 'CALLS'").join(place.toDF("src", "sf"), "src").join(place.toDF("dst", "df"), "dst").where("sf <> df")
@@ -29,17 +29,25 @@ def file_edges(edge: DataFrame, node: DataFrame, unit: DataFrame, ref: DataFrame
     s, b = p.where("kind = 'PACKAGE_SPEC'"), p.where("kind = 'PACKAGE_BODY'")
     sb = b.select("ukey", F.col("file").alias("src"), F.upper("name").alias("what")).join(s.select("ukey", F.col("file").alias("dst")), "ukey").where("src <> dst")
     spec_body = sb.groupBy("src", "dst").agg(F.lit("SPEC_BODY").alias("type"), F.countDistinct("what").alias("count"), evidence(F.col("what")).alias("evidence"))
-    use = ref.where("link is null").select("file", F.upper("table_key").alias("key"), F.upper("table").alias("bare"), (F.size(F.array_except("access", F.array(F.lit("READ"), F.lit("LOCK")))) > 0).alias("w"))
-    use = use.groupBy("file", "key", "bare").agg(F.max("w").alias("w"))
+    use = table_use(ref)
     defs = table_def.where("not alter_only").select(F.upper(F.concat_ws(".", "schema", "name")).alias("d_key"), F.upper("name").alias("bare"), F.col("file").alias("dst")).distinct()
     exact = use.join(defs.select("d_key", "dst"), use["key"] == F.col("d_key")).select("file", "key", "dst")
     loose = use.join(exact.select("key").distinct(), "key", "left_anti").join(defs.select("bare", "dst"), "bare").select("file", "key", "dst")
     needs = exact.unionByName(loose).where("file <> dst").groupBy(F.col("file").alias("src"), "dst").agg(F.lit("NEEDS_DDL").alias("type"), F.countDistinct("key").alias("count"), evidence(F.col("key")).alias("evidence"))
-    return calls.unionByName(spec_body).unionByName(needs).unionByName(shared_tables(use)).orderBy("type", "src", "dst")
+    return calls.unionByName(spec_body).unionByName(needs).orderBy("type", "src", "dst")
+
+
+def table_use(ref: DataFrame) -> DataFrame:
+    """Tables that files touch: (file, key, bare, w), w if one of its statements writes."""
+    write = F.size(F.array_except("access", F.array(F.lit("READ"), F.lit("LOCK")))) > 0
+    use = ref.where("link is null").select("file", F.upper("table_key").alias("key"), F.upper("table").alias("bare"), write.alias("w"))
+    return use.groupBy("file", "key", "bare").agg(F.max("w").alias("w"))
 
 
 def shared_tables(use: DataFrame) -> DataFrame:
-    """Pairs of files over each table that at least one of them writes: rows (file, key, w)."""
+    """SHARED_TABLE edges: pairs of files over each table that at least one of them writes, from rows (file, key, w);
+    src is the lesser name, count the number of tables. The result is pairs by definition, so it is made only when asked
+    for."""
     written = use.where("w").select("key").distinct()
     u = use.join(written, "key", "left_semi")
     # a pair needs a writer, so one side is always taken from the writers, which are few

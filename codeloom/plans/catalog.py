@@ -261,19 +261,19 @@ def table_columns(a):
   union all select 'src/part_' || k || '.prc', 'ddl/tables.sql', 'NEEDS_DDL', (z % 4 > 0)::int + (z % 2 = 0)::int from p where z % 4 > 0 or z % 2 = 0
   union all select 'src/joins.sql', 'ddl/tables.sql', 'NEEDS_DDL', 3""")
 def file_edges(a):
-    return a.file_edge.where("type <> 'SHARED_TABLE'").select("src", "dst", "type", F.col("count").cast("long").alias("n"))
+    return a.file_need.select("src", "dst", "type", F.col("count").cast("long").alias("n"))
 
 
 @coded(f"""with {P}, {WRITES}, u as (select distinct 'src/' || lower(src) || '.prc' f, dst t from w)
   select x.f as src, y.f as dst, count(*) as n from u x join u y on x.t = y.t and x.f < y.f group by all""")
 def shared_tables(a):
-    return a.file_edge.where("type = 'SHARED_TABLE'").select("src", "dst", F.col("count").alias("n"))
+    return a.shared_table.select("src", "dst", F.col("count").alias("n"))
 
 
 @coded(None)
 def reading_order(a):
     """Depth-first post-order of the file graph: sequential, so there is no SQL for it."""
-    order, _ = filedeps.reading_order(a.file_node, a.file_edge)
+    order, _ = filedeps.reading_order(a.file_node, a.file_need)
     return a.spark.createDataFrame(list(enumerate(order, 1)), "position int, file string")
 
 
@@ -463,3 +463,104 @@ def mask_documents(spark, sf_dir):
 def subsequence(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select("p_partkey", T.is_subsequence(F.col("p_type"), F.col("p_name")).alias("type_in_name"), T.is_subsequence(F.regexp_replace("p_name", "[aeiou]", ""), F.col("p_name")).alias("name_in_itself"))
+
+
+@coded(f"with {P}, {CALLS}, e as (select distinct src, dst from c where how = 'INTERNAL'), n as (select src node from e union select dst from e), i as (select dst node, string_agg(src, ',' order by src) x from e group by 1), o as (select src node, string_agg(dst, ',' order by dst) x from e group by 1) select n.node as node, coalesce(i.x, '') as callers, coalesce(o.x, '') as callees from n left join i on n.node = i.node left join o on n.node = o.node")
+def callers_callees(a):
+    return a.adjacency.select("node", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
+@coded(f"with {P} select 'PKG_' || k as owner, 'PART_' || (k % n) as calls, '' as reads, '' as unresolved from s where k % 4 <> 0")
+def package_dependencies(a):
+    return a.package_dependency.select("owner", *(F.array_join(c, ",").alias(c) for c in ("calls", "reads", "unresolved")))
+
+
+@coded(f"""with {P}, x as (select k, {LOC} l, 1 + 2 * (z % 4) + 2 * (z % 2 = 0)::int + (z % 3 = 0)::int + (z % 13 = 0)::int + (z % 11 = 0)::int + (z % 5 = 0)::int + (z % 7 = 0)::int st, (z % 2 = 0)::int lo, z % 4 + (z % 2 = 0)::int + (z % 11 = 0)::int q, (z % 3 = 0)::int + (z % 13 = 0)::int c, z from p)
+  select 'PART_' || k as owner_id, concat_ws('; ', l || ' lines', st || case when st = 1 then ' statement' else ' statements' end, case when lo > 0 then '1 loop' end, case when q > 0 then q || case when q = 1 then ' SQL statement' else ' SQL statements' end end, case when c > 0 then c || case when c = 1 then ' call' else ' calls' end end,
+    case when z % 2 = 0 then 'reads STOCK_' || (z % 3) end, case when z % 4 > 0 and z % 11 = 0 then 'writes INV_' || (z % 5) || ', TMP_T' when z % 4 > 0 then 'writes INV_' || (z % 5) when z % 11 = 0 then 'writes TMP_T' end) as sentence from x""")
+def fact_sentences(a):
+    return a.sentence.where("owner_id like 'PART%'")
+
+
+@coded(f"with {P} select 'PART_' || k as owner_id, 'VARIABLE' as kind, 'v_n' as name, 'NUMBER' as type, '0' as default_text from p union all select 'JOIN_' || i, 'VARIABLE', 'v_q', 'NUMBER', null from {J3} union all select 'PKG_' || k || '.<init>', 'VARIABLE', 'g_n', 'NUMBER', '0' from s where k % 4 <> 0 union all select 'PART_' || k, 'LOOP_VARIABLE', 'r', null, null from p where z % 2 = 0")
+def declarations(a):
+    return a.declaration.select("owner_id", "kind", "name", "type", "default_text")
+
+
+@coded(f"with {P}, {CALLS} select src as owner_id, case when how = 'EXTERNAL' then dst || ' (not found here)' else dst end as said from c")
+def described_calls(a):
+    return a.described_call.select("owner_id", "said")
+
+
+@coded(f"with {P} select cast((select count(*) from p) + 3 + (select sum(3 + (k % 4 <> 0)::int) from s) as bigint) as identical, cast(0 as bigint) as subsequence, cast(0 as bigint) as different")
+def source_roundtrip(a):
+    from codeloom.plans.verify import roundtrip
+
+    return roundtrip(a)
+
+
+@coded(f"with {P} select 'PART_' || k as id, 'objects/_standalone/part_' || k as path from p union all select 'JOIN_' || i, 'objects/_standalone/join_' || i from {J3} union all select 'PKG_' || k || x, 'objects/pkg_' || k || y from s, (values ('.RUN#1', '/run-1'), ('.RUN#2', '/run-2'), ('.TOTAL', '/total'), ('.HELPER', '/helper')) v(x, y) where k % 4 <> 0 or x <> '.HELPER'")
+def card_paths(a):
+    from codeloom.plans.docs import cards
+
+    return cards(a).select("id", "path")
+
+
+@query("select p_partkey, p_name as q_quoted, p_name || '''s' as doubled, 'N' || p_name as national from part")
+def literal_decode(spark, sf_dir):
+    n = F.col("p_name")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", T.literal(F.concat(F.lit("q'["), n, F.lit("]'"))).alias("q_quoted"), T.literal(F.concat(F.lit("'"), n, F.lit("''s'"))).alias("doubled"), T.literal(F.concat(F.lit("n'N"), n, F.lit("'"))).alias("national"))
+
+
+@query("select doc_id, cast(length(substr(\"text\", 1, 90)) - length(replace(substr(\"text\", 1, 90), chr(10), '')) + 1 as integer) as line from documents")
+def line_numbers(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", T.line_of(F.col("text"), F.lit(90)).alias("line"))
+
+
+@query("select p_partkey, p_name || ' -> ... >= \"x\"' as folded from part")
+def ascii_folding(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", T.fold_ascii(F.concat("p_name", F.lit(" → … ≥ “x”"))).alias("folded"))
+
+
+@query("select doc_id, case when doc_id % 101 >= 90 then 'A' when doc_id % 101 >= 75 then 'B' when doc_id % 101 >= 60 then 'C' else 'D' end as grade from labels")
+def grades(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", T.grade(F.col("doc_id") % 101).alias("grade"))
+
+
+@query("select doc_id, '1  ' || l[1] || case when len(l) > 1 then chr(10) || '2  ' || l[2] else '' end as slice from (select doc_id, string_split_regex(\"text\", '\\r?\\n') l from documents)")
+def numbered_slices(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", T.numbered_slice(F.col("text"), F.lit(1), F.lit(2)).alias("slice"))
+
+
+@query("""with o as (select p_partkey k, p_size z from part where p_size < 40), n as (select p_partkey k, p_size + (p_partkey % 3 = 0)::int z from part where p_size > 10)
+  select 'f' || coalesce(o.k, n.k) as path, case when o.k is null then 'ADDED' when n.k is null then 'REMOVED' else 'CHANGED' end as change from o full join n on o.k = n.k where o.k is null or n.k is null or o.z <> n.z""")
+def watch_diff(spark, sf_dir):
+    from codeloom.streaming.watch import diff
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path, when = F.concat(F.lit("f"), F.col("p_partkey").cast("string")), F.lit("2020-01-01").cast("timestamp")
+    old = part.where("p_size < 40").select(path.alias("path"), F.col("p_size").cast("long").alias("size"), when.alias("modified"))
+    new = part.where("p_size > 10").select(path.alias("path"), (F.col("p_size") + (F.col("p_partkey") % 3 == 0).cast("int")).cast("long").alias("size"), when.alias("modified"))
+    return diff(old, new)
+
+
+@query(None)
+def status_fold(spark, sf_dir):
+    """The fold of build events over the events table, a build for each user; a state machine, so there is no SQL."""
+    import pandas as pd
+
+    from codeloom.streaming.watch import EMPTY, fold
+
+    kinds = {"signup": "start", "view": "stage", "click": "file", "error": "log", "purchase": "finished"}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, pdf = EMPTY, pdf.sort_values("event_id")
+        for i, t in zip(pdf["event_id"].tolist(), pdf["event_type"].tolist(), strict=True):
+            now = fold(now, {"kind": kinds[t], "text": f"e{i}", "done": i % 100, "total": 100})
+        return pd.DataFrame([(pdf["user_id"].iloc[0], now["state"], now["done"], len(now["log"]))], columns=["build", "state", "done", "n_log"])
+
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").applyInPandas(run, "build long, state string, done long, n_log int")

@@ -66,9 +66,6 @@ class Analysis:
     def names(self) -> DataFrame:
         return resolve.scope_names(self.facts, self.chain)
 
-    def _own(self, df: DataFrame) -> DataFrame:
-        return df
-
     @cached_property
     def call(self) -> DataFrame:
         return stash(resolve.calls(self.facts, self.owner_unit_all, self.routine, self.owner_of, self.chain, self.names), "call")
@@ -259,12 +256,22 @@ class Analysis:
         return score.missing({"call": self.call, "sql": self.sql, "ref": self.ref, "table_def": self.fact("table_def"), "skipped": self.fact("skipped"), "unit": self.unit, "file": self.file, "gaps": self.gaps, "issue": self.issue, "routine": self.routine})
 
     @cached_property
-    def file_edge(self) -> DataFrame:
+    def file_need(self) -> DataFrame:
+        """Edges of need between files: calls, specifications, definitions."""
         return stash(filedeps.file_edges(self.edge, self.node, self.unit, self.ref, self.fact("table_def")), "fileedge")
 
+    @cached_property
+    def shared_table(self) -> DataFrame:
+        return filedeps.shared_tables(filedeps.table_use(self.ref))
+
+    @cached_property
+    def file_edge(self) -> DataFrame:
+        """All file edges, shared tables included."""
+        return self.file_need.unionByName(self.shared_table.select(self.file_need.columns))
+
     @cached_property
     def file_node(self) -> DataFrame:
-        return filedeps.file_nodes(self.file, self.unit, self.routine, self.file_edge)
+        return filedeps.file_nodes(self.file, self.unit, self.routine, self.file_need)
 
     @cached_property
     def er(self) -> dict[str, DataFrame]:
@@ -299,6 +306,51 @@ class Analysis:
         out = a.join(read, "owner", "left").join(wrote, "owner", "left").join(high, "owner", "left")
         return out.select("owner", "routines", "public", "lines", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("max_cyclomatic", "tables_read", "tables_written", "high_risks")))
 
+    @cached_property
+    def declaration(self) -> DataFrame:
+        """Declarations with their owner; an exception has the number that a pragma of its scope gives it."""
+        scope = ["file", "variant", "unit", "routine"]
+        codes = self.fact("exception_init").groupBy(*scope, "name").agg(F.min("code").alias("code")).withColumnRenamed("name", "low")
+        d = self.fact("decl").withColumn("low", F.lower("name")).join(codes, [*scope, "low"], "left")
+        d = d.withColumn("error_code", F.when(F.col("kind") == "EXCEPTION", F.col("code")).otherwise(F.col("error_code"))).drop("low", "code")
+        return resolve.owned(d, self.owner_unit, self.owner_of)
+
+    @cached_property
+    def adjacency(self) -> DataFrame:
+        """(node, callers, callees) over routines and blocks."""
+        into = self.calls.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_set("src")).alias("callers"))
+        out = self.calls.groupBy(F.col("src").alias("node")).agg(F.sort_array(F.collect_set("dst")).alias("callees"))
+        none = F.array().cast("array<string>")
+        return into.join(out, "node", "full_outer").select("node", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+    @cached_property
+    def package_dependency(self) -> DataFrame:
+        """Per package: tables read and written, built-ins, other packages and routines called, what is unresolved, and
+        who calls it from outside."""
+        group = self.node.select("id", "type", F.coalesce("owner", "id").alias("g"), "owner")
+        e = self.edge.withColumnRenamed("type", "edge_type").join(group.select(F.col("id").alias("src"), F.col("owner").alias("from_owner"), F.col("g").alias("from_group")), "src").join(group.select(F.col("id").alias("dst"), F.col("type").alias("dst_type"), F.col("owner").alias("to_owner"), F.col("g").alias("to_group")), "dst")
+        pick = lambda cond, c: F.sort_array(F.collect_set(F.when(cond, F.col(c))))
+        called = (F.col("edge_type") == "CALLS") & (F.col("from_group") != F.col("to_group"))
+        out = e.where("from_owner is not null").groupBy(F.col("from_owner").alias("owner")).agg(pick(F.col("edge_type") == "READS", "dst").alias("reads"), pick(F.col("edge_type") == "WRITES", "dst").alias("writes"), pick(called & (F.col("dst_type") == "BUILTIN_PACKAGE"), "dst").alias("builtins"), pick(called & F.col("dst_type").isin("ROUTINE", "UNIT_BLOCK"), "to_group").alias("calls"), pick(called & F.col("dst_type").isin("EXTERNAL", "UNRESOLVED"), "dst").alias("unresolved"))
+        into = e.where(called & F.col("to_owner").isNotNull()).groupBy(F.col("to_owner").alias("owner")).agg(F.sort_array(F.collect_set("src")).alias("callers"))
+        return out.join(into, "owner", "full_outer")
+
+    @cached_property
+    def sentence(self) -> DataFrame:
+        """One sentence of facts for each owner."""
+        m = self.metric.join(self.touched, "owner_id", "left")
+        count = lambda c, one, many: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.when(F.col(c) == 1, f" {one}").otherwise(f" {many}")))
+        names = lambda c, label: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+        parts = [count("lines_of_code", "line", "lines"), count("statements", "statement", "statements"), count("loops", "loop", "loops"), count("sql_statements", "SQL statement", "SQL statements"), count("calls", "call", "calls"), names("tables_read", "reads "), names("tables_written", "writes ")]
+        return m.select("owner_id", F.concat_ws("; ", *parts).alias("sentence"))
+
+    @cached_property
+    def described_call(self) -> DataFrame:
+        """How a call is spoken of in the outline."""
+        name = F.upper(F.array_join("parts", "."))
+        said = F.when(F.size("targets") == 1, F.element_at("targets", 1)).when(F.size("targets") > 1, F.concat(F.lit("one of "), F.array_join("targets", ", "))).when(F.col("resolution") == "BUILTIN", F.concat(name, F.lit(" (built in)"))).otherwise(F.concat(name, F.lit(" (not found here)")))
+        return self.call.select("owner_id", "offset", "line", said.alias("said"))
+
     @cached_property
     def io_category(self) -> DataFrame:
         return self.call.where("builtin_package is not null").select("owner_id", "builtin_package", builtins.category(F.col("builtin_package")).alias("category")).distinct()
