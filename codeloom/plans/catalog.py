@@ -343,13 +343,14 @@ def islands_event_gaps(spark, sf_dir):
     return score.islands(e, ["user_id"], "h")
 
 
-@query("select l_orderkey, l_linenumber, cast(running as bigint) as running from (select l_orderkey, l_linenumber, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey rows unbounded preceding) running from lineitem) where running <= 40")
+@query("select l_orderkey, l_linenumber, cast(running as bigint) as running from (select l_orderkey, l_linenumber, sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) running from lineitem) where running <= 40")
 def running_cap(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"))
-    kept = score.running_cap(li, ["l_orderkey"], ["l_linenumber", "l_partkey"], "q", 40)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "q"]
+    kept = score.running_cap(li, ["l_orderkey"], order, "q", 40)
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("l_orderkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return kept.select("l_orderkey", "l_linenumber", F.sum("q").over(w).alias("running"))
 
 

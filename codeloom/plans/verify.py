@@ -72,7 +72,7 @@ def checks(a: Analysis, folder: str) -> DataFrame:
     broken = links(folder, spark).count()
     content = F.col("content") if "content" in a.files.columns else F.encode("text", "UTF-8")
     source = a.files.select(F.concat(F.lit("source/"), "file").alias("path"), F.sha2(content, 256).alias("want")).join(have, "path", "left").where("digest is null or digest <> want").count()
-    dangling = a.file_edge.join(p.select(F.col("file").alias("dst")), "dst", "left_anti").count()
+    dangling = a.file_need.join(p.select(F.col("file").alias("dst")), "dst", "left_anti").count()
     conf = a.confidence.first()["overall"]
     miss = a.missing.where("severity = 'HIGH'").count()
     say = lambda ok, warn=False: "PASS" if ok else "WARN" if warn else "FAIL"
