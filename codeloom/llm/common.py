@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 
 #: An input of at most so many rows may be broadcast or collected; every caller checks or states its bound.
 BOUND_ROWS = 200_000
+#: Rows of an Arrow batch at most: a Python worker holds a batch of whole texts at once, and texts can be long.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +41,7 @@ def stash(df: DataFrame, tag: str = "t") -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/codeloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
