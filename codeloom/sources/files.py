@@ -99,14 +99,21 @@ class Facts:
         flags = dict(flags or {})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frame = lambda rows: pd.DataFrame(rows, columns=["file", "variant", "tbl", "json"])
             for b in batches:
+                out: list[tuple[str, str, str, str]] = []
                 for file, text in zip(b["file"].tolist(), b["text"].tolist(), strict=True):
-                    yield pd.DataFrame(list(parse_rows(file, text, flags)), columns=["file", "variant", "tbl", "json"])
+                    out += parse_rows(file, text, flags)
+                    if len(out) > 2_000:
+                        yield frame(out)
+                        out = []
+                yield frame(out)
 
         self.spark, self.files = spark, files
         self.path = where or f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
-        rows = files.select("file", "text").mapInPandas(run, "file string, variant string, tbl string, json string")
-        # a table's rows go to few files: ten of each at most for a task of the next stage
+        # parsing costs far more than moving a file, so files are spread evenly, whatever partitions they come in
+        tasks = max(2 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions())
+        rows = files.select("file", "text").repartition(tasks, F.xxhash64("file")).mapInPandas(run, "file string, variant string, tbl string, json string")
         rows.write.partitionBy("tbl").parquet(self.path)
         self._raw = spark.read.schema("file string, variant string, json string, tbl string").parquet(self.path)
 
