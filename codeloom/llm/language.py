@@ -19,6 +19,8 @@ DOCS_PER_LANGUAGE = 160
 DICTIONARY_BYTES = 96_000
 #: A prediction is rejected if the second language's dictionary makes a text larger by no more than this part of it.
 MARGIN = 0.004
+#: Bytes of a text that are compressed at once, so that the dictionary stays in reach and the text does not become its own.
+PIECE = 4096
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 OTHER = re.compile(r"[\W\d_]+")
@@ -29,6 +31,17 @@ def letters(text: str) -> bytes:
     return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
+def pieces(data: bytes) -> Iterator[bytes]:
+    """All of the data in runs of ``PIECE`` bytes at most, cut at spaces where there are some."""
+    at = 0
+    while len(data) - at > PIECE:
+        end = data.rfind(b" ", at, at + PIECE) + 1
+        end = end if end > at else at + PIECE
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
 def settings(size: int) -> zstandard.ZstdCompressionParameters:
     """Matches from three bytes, parsed optimally: related languages differ in short syllables."""
     return zstandard.ZstdCompressionParameters.from_level(3, dict_size=size, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
@@ -64,7 +77,10 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: i
 
 
 class Judge:
-    """Compressed sizes of a text against each language's dictionary."""
+    """Compressed sizes of a text against each language's dictionary: the sum over its pieces, each compressed alone.
+
+    The gap between two languages therefore grows with the text, as the margin does.
+    """
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
@@ -82,7 +98,11 @@ class Judge:
         if not self.langs:
             return UNKNOWN, 0.0, True
         data = letters(text)
-        sizes = sorted((len(p.compress(data)), k) for k, p in enumerate(self.packers))
+        totals = [0] * len(self.packers)
+        for piece in pieces(data):
+            for k, p in enumerate(self.packers):
+                totals[k] += len(p.compress(piece))
+        sizes = sorted((size, k) for k, size in enumerate(totals))
         best = self.langs[sizes[0][1]]
         if len(sizes) == 1:
             return best, 1.0, False

@@ -258,6 +258,23 @@ def test_language(spark):
     assert language.fit(df.limit(0)) == {}
 
 
+@pytest.mark.parametrize("size", [1_000, 20_000, 300_000, 5_000_000])
+def test_language_of_long_texts(size):
+    """The margin holds at any length: texts of one language are kept, and every byte of them is judged."""
+    rnd = random.Random(5)
+    shared = ["".join(rnd.choice("aeioubdklmnrst") for _ in range(rnd.randint(3, 8))) for _ in range(2000)]
+    voc = {"aa": [w + "ila" for w in shared], "bb": [w + "ung" for w in shared]}
+    d = {lang: " ".join(rnd.choices(words, k=9000)).encode() for lang, words in voc.items()}
+    judge = language.Judge(d)
+    for lang, words in voc.items():
+        text = " ".join(rnd.choices(words, k=size // 5))[:size]
+        assert len(text) == size
+        got = judge(text)
+        assert got[0] == lang and not got[2]
+    for data in (text.encode(), b"x" * size, b""):
+        assert b"".join(language.pieces(data)) == data and max(map(len, language.pieces(data))) <= language.PIECE
+
+
 # --- chat
 
 def test_preferences(spark):
