@@ -54,6 +54,22 @@ def lexicon_of(counts: list[tuple[str, int, int]], pos: int, neg: int) -> Lexico
     return out
 
 
+def nearest(a: list[int], b: list[int]) -> int:
+    """Least distance between two sorted lists of positions, -1 if one is empty; a merge over all of both."""
+    best, i, j = -1, 0, 0
+    while i < len(a) and j < len(b):
+        gap = abs(a[i] - b[j])
+        if best < 0 or gap < best:
+            best = gap
+            if not best:
+                break
+        if a[i] < b[j]:
+            i += 1
+        else:
+            j += 1
+    return best
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Dense features of a whole text; null is empty."""
     text = text or ""
@@ -84,7 +100,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         if bad and (not insult or insult[-1] != i):
             insult.append(i)
     hits, heads = len(weights), len(head_weights)
-    near = min((abs(a - b) for a in insult[:200] for b in second[:200]), default=-1) if insult and second else -1
+    near = nearest(insult, second)
     length = max(len(text), 1)
     caps = sum(1 for w in words if len(w) > 2 and w.isupper())
     masked = [m.lower().translate(LEET) for m in MIXED.findall(text)] if any(c in text for c in "@$!|*013457") else []

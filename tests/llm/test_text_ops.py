@@ -109,6 +109,20 @@ def test_features_and_trees():
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
 
 
+@given(st.lists(st.integers(0, 3000), max_size=400), st.lists(st.integers(0, 3000), max_size=400))
+@settings(max_examples=50, deadline=None)
+def test_nearest_is_exact(a, b):
+    a, b = sorted(set(a)), sorted(set(b))
+    assert toxicity.nearest(a, b) == min((abs(x - y) for x in a for y in b), default=-1)
+
+
+def test_nearest_pair_late_in_a_long_text():
+    """The pair that counts comes after thousands of insults and thousands of second-person words."""
+    text = "idiot " * 5000 + "word " * 50 + "you " * 5000 + "word " * 50 + "you idiot"
+    f = dict(zip(toxicity.FEATURES, toxicity.features(text, toxicity.Lexicon()), strict=True))
+    assert f["nearest"] == 1 / 2
+
+
 def test_toxicity_learns_and_scores_held_out(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
