@@ -21,8 +21,8 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 #: With one of these in the same name, an element holds content although another part of the name says otherwise.
 CONTENT_NAMES = frozenset("content main article post entry story body text page container wrapper layout".split())
 KEEP = frozenset(("html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6", "p"))
-#: Standard deviation of the smoothing, in blocks; part of the chosen blocks' text that the region must hold.
-SIGMA, SHARE = 1.5, 0.6
+#: Standard deviation of the smoothing, in blocks.
+SIGMA = 1.5
 
 
 class Blocks(HTMLParser):
@@ -160,8 +160,8 @@ def main_text(html: str | None) -> str:
     """The blocks of the content region, in page order, joined by newlines; null and empty pages give an empty text.
 
     Each block is a line of the method: its ratio of text to tags is smoothed and clustered. The region is the innermost
-    element that holds most of the chosen blocks' text, or the article (else main) element around it. All blocks of the
-    region stay, short ones too; elements that are boilerplate by their kind, role or name never give blocks.
+    element that holds all chosen blocks and all articles, or the outermost article or main element around it. All blocks
+    of the region stay, short ones too; elements that are boilerplate by their kind, role or name never give blocks.
     """
     if not html:
         return ""
@@ -177,37 +177,30 @@ def main_text(html: str | None) -> str:
     ratios = smooth([max(len(t) - links, 0) / max(tags, 1) for t, tags, links, _ in blocks])
     cut = threshold(ratios)
     chosen = [r > cut or r == max(ratios) for r in ratios]
-    mass = [0] * len(p.parent)
-    total = 0
-    for (text, _, _, at), use in zip(blocks, chosen, strict=True):
-        if use:
-            total += len(text)
-            while at >= 0:
-                mass[at] += len(text)
-                at = p.parent[at]
-    region = -1
-    for k in range(len(mass)):  # parents come first, so the last that holds enough is the innermost
-        if mass[k] >= SHARE * total and (region < 0 or p.parent[k] == region or region in _line(p.parent, k)):
-            region = k
-    line = _line(p.parent, region)
-    named = [k for k in line if p.kind[k] == "article"] or [k for k in line if p.kind[k] == "main"]
-    if named:
-        region = named[-1]
-    out = []
-    for text, _, links, at in blocks:
-        if region >= 0 and region not in _line(p.parent, at):
-            continue
-        if not named and links >= 0.8 * len(text):
-            continue  # outside an article, a block of links is a menu
-        out.append(text)
-    return "\n".join(out)
-
-
-def _line(parent: list[int], at: int) -> list[int]:
-    out = []
-    while at >= 0:
-        out.append(at)
-        at = parent[at]
+    named = _within(p.parent, [kind in ("article", "main") for kind in p.kind])
+    # outside an article, a block of links is a menu
+    menu = [links >= 0.8 * len(text) and not named[at] for text, _, links, at in blocks]
+    # what the region must hold: the chosen blocks, and every article or main element that has text
+    held = [0] * (len(p.parent) + 1)
+    for (*_, at), use, no in zip(blocks, chosen, menu, strict=True):
+        held[at] += named[at] or (use and not no)
+    total = sum(held)
+    for k in range(len(p.parent) - 1, -1, -1):  # parents come first
+        held[p.parent[k]] += held[k]
+    # the last that holds all is the innermost; none does if a needed block is in no container
+    region = max((k for k in range(len(p.parent)) if held[k] == total > 0), default=-1)
+    if region >= 0 and named[region]:
+        while named[p.parent[region]] or p.kind[region] not in ("article", "main"):
+            region = p.parent[region]
+    kept = _within(p.parent, [k == region for k in range(len(p.parent))])
+    return "\n".join(text for (text, _, _, at), no in zip(blocks, menu, strict=True) if not no and (region < 0 or kept[at]))
+
+
+def _within(parent: list[int], marked: list[bool]) -> list[bool]:
+    """Whether each container or one around it is marked; the last entry, that of container -1, is false."""
+    out = [*marked, False]
+    for k, up in enumerate(parent):  # parents come first
+        out[k] = out[k] or out[up]
     return out
 
 

@@ -249,6 +249,22 @@ def test_no_article_element_and_edges(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "", 0), (2, "", 0), (3, "é", 1), (3, "é", 1)]
 
 
+def test_split_content_is_kept_whole():
+    """The region holds every chosen block: sections, sibling articles, a headline outside the article."""
+    para = lambda word, n: f"<p>{(word + ' tells the story. ') * 12}</p>" * n
+    shell = "<body><nav><p>Menu</p></nav><div><a href=a>Top</a> <a href=b>Login</a></div>{}<footer><p>Imprint</p></footer></body>"
+    for body in (
+        "<div class=content><section>" + para("Alpha", 7) + "</section><section>" + para("Beta", 3) + "</section></div>",
+        "<article>" + para("Alpha", 6) + "</article><article>" + para("Beta", 4) + "</article>",
+        "<div><article>" + para("Alpha", 9) + "</article></div><div><article><p>Beta tells the story. Beta tells the story. </p></article></div>",
+        "<main><h1>Beta tells the story.</h1><article>" + para("Alpha", 6) + "</article></main>",
+        "<table><tr><td>" + para("Alpha", 8) + "</td><td>" + para("Beta", 2) + "</td></tr></table>",
+    ):
+        got = html.main_text(shell.format(body))
+        assert got.count("Alpha") == body.count("Alpha") and got.count("Beta") == body.count("Beta")
+        assert not any(w in got for w in ("Menu", "Top", "Login", "Imprint"))
+
+
 def test_smoothing_and_clusters():
     assert html.smooth([1.0] * 7) == pytest.approx([1.0] * 7)
     assert 2 < html.threshold([1, 1, 2, 9, 10]) < 9
