@@ -337,6 +337,16 @@ def components_part_supp(spark, sf_dir):
     return c.select(F.col("node").cast("long").cast("string").alias("node"), F.col("component").cast("long").cast("string").alias("component"))
 
 
+@query()
+def components_all_lines(spark, sf_dir):
+    """Components over all pairs of part and supplier, with whole keys. A recursive SQL has a row for each pair of
+    connected nodes, so there is none; a test compares with union-find."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey is not null and l_suppkey is not null")
+    key = lambda kind, c: F.concat(F.lit(kind), F.lpad(F.col(c).cast("string"), 19, "0"))
+    e = li.select(key("p", "l_partkey").alias("src"), key("s", "l_suppkey").alias("dst")).distinct()
+    return graph.components(e, e.select(F.col("src").alias("node")))
+
+
 @query("with d as (select distinct user_id, cast(floor(epoch(ts) / 3600) as bigint) h from events), g as (select *, h - row_number() over (partition by user_id order by h) r from d) select user_id, min(h) as \"from\", max(h) as \"to\" from g group by user_id, r")
 def islands_event_gaps(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("h"))

@@ -48,3 +48,27 @@ def test_order_and_cycles():
 def test_empty(spark):
     e, nodes = spark.createDataFrame([], "src string, dst string"), spark.createDataFrame([], "node string")
     assert graph.components(e, nodes).count() == 0 and graph.strong_components(e, nodes).count() == 0
+
+
+def test_components_of_all_lines(spark, tmp_path):
+    """Every line counts, whatever its quantity, and keys are not folded: against union-find."""
+    from codeloom.plans import catalog
+
+    rnd = random.Random(4)
+    lines = [(k + 2000 * rnd.randrange(4), rnd.randrange(400), rnd.randint(1, 50)) for k in rnd.choices(range(150), k=260)] + [(None, 1, 1), (1, None, 1)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b, _ in lines:
+        if a is not None and b is not None:
+            x, y = sorted((root(f"p{a:019d}"), root(f"s{b:019d}")))
+            up[y] = x
+    want = {x: root(x) for x in list(up)}
+    assert 1 < len(set(want.values())) < len(want) / 2
+    got = catalog.QUERIES["components_all_lines"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
