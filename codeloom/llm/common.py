@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,15 +11,17 @@ from pyspark.sql import functions as F
 
 #: An input of at most so many rows may be broadcast or collected; every caller checks or states its bound.
 BOUND_ROWS = 200_000
-#: Rows of an Arrow batch at most: a Python worker holds a batch of whole texts at once, and texts can be long.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch at most: a Python worker holds a batch of whole texts at once, and texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the session's Arrow batches; plans are made when a result is read, so the bound stays for the session."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a
+    single machine (tests), and an error on a cluster, whose executors would each write to a disk of their own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import hash_unit
+from codeloom.llm.common import hash_unit, stash
 
 #: Labelled documents that a model is fitted on at most (mean of a sample by hash); and terms of the learned lexicon.
 SAMPLE, TERMS = 20_000, 3_000
@@ -22,18 +22,15 @@ INSULTS = frozenset("idiot moron stupid loser trash scum clown pathetic disgusti
 #: Second-person words in four languages.
 SECOND = frozenset("you your yours yourself du dich dir dein deine euch euer tu te toi ton ta tes vous votre vos usted ustedes tú vosotros vuestro".split())
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"(?=\S*[0-9@$!|*])(?=\S*[^\W\d_])[^\s.,;:?\"()]{3,24}")
+#: A run that holds a digit or sign which may stand for a letter. It begins where a run does and gives nothing back, so
+#: each character is looked at a fixed number of times.
+MIXED = re.compile(r"(?<![^\s.,;:?\"()])[^\s.,;:?\"()0-9@$!|*]*+[0-9@$!|*][^\s.,;:?\"()]*+")
+LETTER = re.compile(r"[^\W\d_]")
 LEET = str.maketrans("013457@$!|", "oieastasii")
 REPEAT = re.compile(r"([^\W\d_])\1\1+")
 FEATURES = ["n_words", "log_len", "insults", "insult_rate", "terms", "term_rate", "weight_max", "weight_mean", "prefixes", "prefix_rate", "prefix_max", "second_rate", "nearest", "caps", "caps_words", "exclaim", "question", "punct", "digits", "mixed_rate", "obfuscated", "repeats"]
 
 
-def terms_of(text: str) -> set[str]:
-    """Words of a text, and their beginnings marked by a star."""
-    words = set(WORD.findall(text.lower()))
-    return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
-
-
 @dataclass
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
@@ -70,6 +67,16 @@ def nearest(a: list[int], b: list[int]) -> int:
     return best
 
 
+def disguised(text: str) -> list[str]:
+    """Runs of three characters or more in which letters and signs or digits mix; marks at the ends do not count."""
+    out = []
+    for m in MIXED.findall(text):
+        m = m.strip("!*|")
+        if len(m) > 2 and LETTER.search(m) and any(c in m for c in "0123456789@$!|*"):
+            out.append(m)
+    return out
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Dense features of a whole text; null is empty."""
     text = text or ""
@@ -103,7 +110,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     near = nearest(insult, second)
     length = max(len(text), 1)
     caps = sum(1 for w in words if len(w) > 2 and w.isupper())
-    masked = [m.lower().translate(LEET) for m in MIXED.findall(text)] if any(c in text for c in "@$!|*013457") else []
+    masked = [m.lower().translate(LEET) for m in disguised(text)]
     hidden = sum(1 for m in masked if (m in INSULTS or m in known or re.sub(r"[^\w]", "", m) in INSULTS))
     upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]+", text)))
     marks = len(re.findall(r"[^\w\s]", text))
@@ -211,12 +218,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows (text, toxic, key), of which a sample by hash of ``key`` of the given mean size is used.
 
     Half of the sample gives the lexicon (counted on the executors), a third the trees and the rest the calibration:
-    none is fitted on what another has seen. The driver gets the terms' counts and the features, both bounded.
+    none is fitted on what another has seen. The driver gets the terms' counts and the features, both bounded. The
+    sample is written once and read for each step. Rows without a key or label are not used; rows of one key are one
+    document, with the greatest label and the least text, so repeated rows weigh nothing. Equal counts of terms are
+    ordered by the term. Without rows, or without toxic ones, every score is low and finite. Other columns are ignored.
     """
     rows = labelled.where("toxic is not null and key is not null")
-    total = rows.count()
-    u = hash_unit(F.col("key"), F.lit("toxic"))
-    rows = rows.where(hash_unit(F.col("key"), F.lit("sample")) < sample / max(total, 1)).select("text", F.col("toxic").cast("int").alias("toxic"), u.alias("u"))
+    marks = rows.groupBy("key").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    total = marks.count()
+    taken = hash_unit(F.col("key"), F.lit("sample")) < sample / max(total, 1)
+    one = rows.where(taken).groupBy("key").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.min("text").alias("text"))
+    rows = stash(one.select("text", "toxic", hash_unit(F.col("key"), F.lit("toxic")).alias("u")), "labelled")
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
     starts = [F.transform(F.filter("w", lambda w, k=k: F.char_length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in PREFIXES]
     half = rows.where("u < 0.5")
@@ -243,7 +255,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(model: Model, text: Column) -> Column:
-    """Score of a text column, from 0 to 1; null texts are scored as empty ones."""
+    """Score of a text column, from 0 to 1; null texts are scored as empty ones, equal texts alike.
+
+    It is a column: repeated rows, other columns of any name and empty tables are left as they are. A worker holds one
+    Arrow batch of whole texts, which is bounded in bytes but for a text that is longer by itself.
+    """
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
