@@ -8,15 +8,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BOUND_ROWS, hash_unit
+from codeloom.llm.common import hash_unit
 
-#: Bounds of what the dictionaries are made of: documents of each language on average, and bytes of each dictionary.
+#: Bounds of what the dictionaries are made of: documents of each language on average; bytes of each dictionary, of all,
+#: and what shorter ones are filled up to with spaces (the library ignores less).
 DOCS_PER_LANGUAGE = 160
-DICTIONARY_BYTES = 96_000
+DICTIONARY_BYTES, TOTAL_BYTES, LEAST_BYTES = 96_000, 32_000_000, 8
 #: A prediction is rejected if the second language's dictionary makes a text larger by no more than this part of it.
 MARGIN = 0.004
 #: Bytes of a text that are compressed at once, so that the dictionary stays in reach and the text does not become its own.
@@ -47,33 +49,40 @@ def settings(size: int) -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters.from_level(3, dict_size=size, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
-def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw-content dictionaries from rows (text, lang, key), the commonest language first.
+def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: int = DICTIONARY_BYTES, total: int = TOTAL_BYTES) -> dict[str, bytes]:
+    """Raw-content dictionaries from rows (text, lang, key), the commonest language first (ties: by name).
 
-    The driver gets a sample of a fixed mean size per language.
-
-    The number of languages is checked; a document enters whole, the sample is fixed by a hash of ``key``.
+    The sample is fixed by a hash of key and text and has a mean size per language; it is made into dictionaries on the
+    executors, a language in a task. The driver gets the dictionaries: ``size`` bytes each, less for many languages, so
+    that all together have ``total`` bytes, but 2,000 bytes each at the least. Every language gets one, however little
+    text it has. Rows with a null language, or a text that is null or has no letter, are not used; equal texts of a
+    language count once; other columns are ignored; an empty table gives no language.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", "key")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError("more than 1000 languages")
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(docs_per_language / n)).otherwise(share)
-    sample = rows.where(hash_unit(F.col("key"), F.lit("lang")) < share)
-    got: dict[str, list[tuple[str, str]]] = {}
-    for r in sample.limit(BOUND_ROWS).collect():
-        got.setdefault(r["lang"], []).append((str(r["key"]), r["text"]))
-    out = {}
-    for lang, texts in got.items():
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
+    size = max(2_000, min(size, total // max(len(counts), 1)))
+    share = rows.sparkSession.createDataFrame(sorted((k, docs_per_language / n) for k, n in counts.items()), "lang string, share double")
+    sample = rows.join(F.broadcast(share), "lang").where(hash_unit(F.col("key"), F.xxhash64("text"), F.lit("lang")) < F.col("share"))
+    # of a longer document, no more than a dictionary holds
+    sample = sample.select("lang", F.substring("text", 1, size).alias("text")).distinct()
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
         parts, left = [], size
-        for data in (letters(text) for _, text in sorted(set(texts))):
-            if len(data) <= left:  # a longer document is left out of the dictionary, unless it is the only one
+        texts = [letters(t) for t in sorted(pdf["text"].tolist())]
+        for data in sorted(texts, key=xxhash.xxh3_64_intdigest):
+            if len(data) <= left:
                 parts.append(data)
                 left -= len(data)
-        out[lang] = b" ".join(parts or [letters(min(texts)[1])[:size]])
-    return {k: out[k] for k in sorted(out, key=lambda k: (-counts[k], k)) if len(out[k]) >= 8}
+        data = b" ".join(parts or [min(texts)[:size]])
+        return pd.DataFrame([(pdf["lang"].iloc[0], data.ljust(LEAST_BYTES))], columns=["lang", "data"])
+
+    got = {r["lang"]: bytes(r["data"]) for r in sample.groupBy("lang").applyInPandas(build, "lang string, data binary").collect()}
+    missing = sorted(set(counts) - set(got))  # of which the hash took no document
+    if missing:
+        first = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.substring("text", 1, size)).alias("text"))
+        got |= {r["lang"]: bytes(r["data"]) for r in first.groupBy("lang").applyInPandas(build, "lang string, data binary").collect()}
+    return {k: got[k] for k in sorted(got, key=lambda k: (-counts[k], k))}
 
 
 class Judge:
@@ -111,7 +120,11 @@ class Judge:
 
 
 def identify(dictionaries: dict[str, bytes], text: Column) -> Column:
-    """struct<lang string, score double, rejected boolean> of a text column. The dictionaries are bounded by their size."""
+    """struct<lang string, score double, rejected boolean> of a text column. The dictionaries are bounded by their size.
+
+    Null and empty texts and those without a letter are ``und``, 0, rejected. It is a column: repeated rows get equal
+    results, other columns of any name and empty tables are left as they are.
+    """
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
