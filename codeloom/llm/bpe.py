@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose encoding a worker remembers; beyond it the memory is emptied and filled anew.
-MEMORY = 400_000
+#: Pre-tokens whose encoding a worker remembers, and their characters; beyond either the memory is emptied and filled anew.
+MEMORY, MEMORY_CHARS = 400_000, 8_000_000
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -129,6 +129,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.ids_of: dict[str, tuple[int, ...]] = {}
         self.text_of: dict[str, str] = {}
+        self.held = 0  # characters
 
     def learn(self, words: Iterable[str]) -> None:
         """Fill the memory with the words' encodings: the perfect hash first, merging for those it does not hold."""
@@ -137,12 +138,14 @@ class Codec:
         for w, d, k in zip(new, data, self.table.find(data, self.tokens), strict=True):
             ids = (k,) if k >= 0 else merge(d, self.ranks)
             self.ids_of[w] = ids
+            self.held += len(w)
             self.text_of[w] = ",".join(map(str, ids))
 
     def words(self, text: str) -> list[str]:
-        if len(self.ids_of) > self.memory:
+        if len(self.ids_of) > self.memory or self.held > MEMORY_CHARS:
             self.ids_of.clear()
             self.text_of.clear()
+            self.held = 0
         words = self.split(text)
         self.learn(set(words))
         return words
@@ -164,7 +167,8 @@ class Codec:
 def codec_columns(spark, path: str, pattern: str, text: Column, ids: bool = False) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256> of a text column, or with ``ids`` array<int>; null texts are empty.
 
-    The driver reads the rank file (under a megabyte, which is checked) and sends it and the perfect hash to executors.
+    The driver reads the rank file, checked to have 64 MB at most, and sends it and the perfect hash to executors. It is a
+    column: repeated rows get equal results, other columns of any name and empty tables are left as they are.
     """
     with open(path, "rb") as f:
         data = f.read()
