@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -10,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import hash_unit
+
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, TUPLE, TUPLES = 6, 2, 64
-#: Documents of one range of ids, for which texts meet in one task.
-ROWS_PER_RANGE = 1_000
+#: Documents of one range of the order, whose texts meet in one task; and ranges at most.
+ROWS_PER_RANGE, MOST_RANGES = 1_000, 20_000
 MIX32 = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
@@ -99,55 +102,78 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+#: A null id sorts last.
+LAST = -(2**63)
+
+
+def cuts_of(keys: DataFrame, n: int, ranges: int, per_range: int = 10) -> list[tuple[int, int, int]]:
+    """Rising cuts of ``n`` rows (id, h, salt) into about so many ranges, from a sample of ``per_range`` rows a range.
+
+    Rows of one id and hash are parted only where they fill ranges of their own: their numbers could change if a lost
+    executor's input is cut anew, and then only such ranges surely hold some of them still.
+    """
+    share = ranges * per_range / max(n, 1)
+    sample = sorted(tuple(r) for r in keys.where(hash_unit("id", "h", "salt") < share).collect())
+    cuts = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+    near = [(-1, -1), *(c[:2] for c in cuts), (-1, -1)]
+    return sorted({c if c[:2] in (near[k], near[k + 2]) else (*c[:2], -1) for k, c in enumerate(cuts)})
+
+
+def compare_with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Fingerprints of every document, of its edited text, and of the next document by descending id (last: the first).
 
-    Ids are cut into ranges of about equal numbers of rows; a document goes to the task of its range, and the greatest
-    of each range also to the range above, whose last document it follows. So texts are shuffled once, and a task holds
-    one document and the next at a time. Null ids sort last; rows of one id are ordered by text, so repeated rows follow
-    each other. An empty table gives no row.
+    Rows are ordered by (id, hash of the text, a number from the row's place in the input), which no two rows share, and
+    cut into ranges of that order: so rows of one id, and even equal rows, are spread over as many ranges as they fill.
+    A row goes to the task of its range, and the greatest of each range also to the range above, whose last row it
+    follows. So texts are shuffled once, and a task holds one document and the next at a time. The driver holds some ten
+    numbers for each range, and the executors a row for each; there are ``most_ranges`` at most, beyond which ranges
+    grow, which are sorted on disk. A null id sorts last; rows of one id are ordered by the hash of their texts, equal
+    texts follow each other. A null text is empty; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
+    text = F.coalesce("text", F.lit(""))
+    # the place decides between equal rows only, which are alike in every result
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
+    n = docs.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
-    ranges = -(-n // rows_per_range)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], max(0.1 / ranges, 2e-5)))) if ranges > 1 else []
-    low, edges = F.lit(-(2**63)), np.array(cuts)
+    ranges = min(-(-n // rows_per_range), most_ranges)
+    cuts = cuts_of(rows.select("id", "h", "salt"), n, ranges) if ranges > 1 else []
+    ids = np.array([c[0] for c in cuts], dtype=np.int64)
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:  # the number of a range grows as ids fall
-        return pd.Series(len(edges) - np.searchsorted(edges, ids.to_numpy(dtype="float64"), side="left"), dtype="int32")
-
-    rows = rows.withColumn("part", part_of(F.coalesce("doc_id", low).cast("double")))
-    # by range, the first document: one row for each range, whatever the input
-    heads = rows.groupBy("part").agg(F.max(F.coalesce("doc_id", low)).alias("head"))
-    found = sorted((r["part"], r["head"]) for r in heads.collect())
-    # the first document of a range follows the last of the range before; that of the first range closes the ring
-    to = spark.createDataFrame([(p, i, found[k - 1][0]) for k, (p, i) in enumerate(found)], "of int, head long, up int")
-    top = rows.join(F.broadcast(to), (F.col("part") == F.col("of")) & (F.coalesce("doc_id", low) == F.col("head")))
-    top = top.groupBy("up").agg(F.max_by(F.struct("doc_id", "text"), F.col("text")).alias("r"))
-    guests = top.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), F.col("up").alias("part"), F.lit(True).alias("guest"))
-    every = rows.select("doc_id", "text", "part", F.lit(False).alias("guest")).unionByName(guests)
-    dealt = every.repartition("part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("text"))
+    def part_of(id: pd.Series, h: pd.Series, salt: pd.Series) -> pd.Series:  # the number of a range grows as keys fall
+        at = np.searchsorted(ids, id.to_numpy(), side="left")
+        for k in np.flatnonzero(np.searchsorted(ids, id.to_numpy(), side="right") > at):  # a cut has this id
+            at[k] = bisect.bisect_left(cuts, (id.iat[k], h.iat[k], salt.iat[k]))
+        return pd.Series(len(cuts) - at, dtype="int32")
+
+    rows = rows.withColumn("part", part_of("id", "h", "salt"))
+    key = F.struct("id", "h", "salt")
+    # the first row of each range follows the last of the range before; that of the first range closes the ring
+    found = sorted((r["part"], tuple(r["head"])) for r in rows.groupBy("part").agg(F.max(key).alias("head")).collect())
+    to = spark.createDataFrame([(p, id, h, found[k - 1][0]) for k, (p, (id, h, _)) in enumerate(found)], "part int, id long, h long, up int")
+    top = rows.join(F.broadcast(to), ["part", "id", "h"]).groupBy("up", "id", "h").agg(F.first("text").alias("text"))
+    guests = top.select(F.col("id").alias("doc_id"), "id", "h", F.lit(0).cast("long").alias("salt"), "text", F.col("up").alias("part"), F.lit(True).alias("guest"))
+    every = rows.select("doc_id", "id", "h", "salt", "text", "part", F.lit(False).alias("guest")).unionByName(guests)
+    dealt = every.repartition("part").sortWithinPartitions("part", "guest", F.desc("id"), F.desc("h"), F.desc("salt"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # part, doc_id, text, sketch
+        last = None  # part, id, whether there is none, text, sketch
         for b in batches:
             out = []
-            for part, doc, text in zip(b["part"].tolist(), b["doc_id"].tolist(), b["text"].tolist(), strict=True):
-                doc = None if doc != doc else doc
-                own = sketch(text)
+            for part, doc, null, text in zip(b["part"].tolist(), b["id"].tolist(), b["no_id"].tolist(), b["text"].tolist(), strict=True):
+                own = last[4] if last is not None and last[3] == text else sketch(text)
                 if last is not None and last[0] == part:
-                    changed = edit(last[2], text)
-                    other = sketch(changed)
-                    out.append((last[1], len(last[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), shown(last[3]), shown(other), likeness(last[3], other), likeness(last[3], own)))
-                last = (part, doc, text, own)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
-
-    return dealt.select("part", "doc_id", "text").mapInPandas(run, SCHEMA)
-
+                    changed = edit(last[3], text)
+                    other = own if changed == text else sketch(changed)
+                    out.append((last[1], last[2], len(last[3]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), shown(last[4]), shown(other), likeness(last[4], other), likeness(last[4], own)))
+                last = (part, doc, null, text, own)
+            yield pd.DataFrame(out, columns=["id", "no_id", *NAMES[1:]])
+
+    made = dealt.select("part", "id", F.col("doc_id").isNull().alias("no_id"), "text").mapInPandas(run, "id long, no_id boolean, " + SCHEMA.split(", ", 1)[1])
+    return made.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), *NAMES[1:])
