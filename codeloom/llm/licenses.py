@@ -9,10 +9,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.license_texts import KNOWN
+from codeloom.llm.license_texts import DIGESTS, KNOWN
 
 #: Lines that name a holder or a year and so differ between copies of one licence.
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright +(\(c\)|©|[0-9]{4}|by )|\(c\) *[0-9]{4}|© *[0-9]{4}|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright +(\(c\)|©|[0-9]{4}|by |[\[{<])|\(c\) *[0-9]{4}|© *[0-9]{4}|all rights reserved)[^\n]*$"
 #: Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("whilst", "while"), ("favour", "favor"), ("https:", "http:"), ("©", "(c)"), ("and/or", "and or")]
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
@@ -38,11 +38,11 @@ def canonical(text: str) -> str:
     return regex.sub(r"[ \n]+", " ", regex.sub(NOT_WORD, " ", t)).strip(" ")
 
 
-def digests(known: Iterable[tuple[str, str]] = KNOWN) -> dict[str, str]:
-    """Digest to identifier. Two licences must not share a canonical text."""
+def digests(known: Iterable[tuple[str, str]] = KNOWN, more: Iterable[tuple[str, str]] = DIGESTS) -> dict[str, str]:
+    """Digest to identifier, of known texts and of texts known by their digests only. Two licences must not share one."""
     out: dict[str, str] = {}
-    for name, text in known:
-        if out.setdefault(d := hashlib.sha256(canonical(text).encode()).hexdigest(), name) != name:
+    for name, d in [*((name, hashlib.sha256(canonical(text).encode()).hexdigest()) for name, text in known), *more]:
+        if out.setdefault(d, name) != name:
             raise ValueError(f"{name} and {out[d]} have one canonical text")
     return out
 
@@ -51,8 +51,9 @@ def scan(df: DataFrame, text: str = "text", known: Iterable[tuple[str, str]] = K
     """Adds ``digest`` of the whole canonical text, ``license_id`` of the licence that the whole text is (null: none),
     ``notices`` (sorted identifiers of licences that one whole line is) and ``n_notice_lines`` to every row.
 
-    Columns of ``df`` with those names are replaced. Null and empty texts have the digest of the empty text and no
-    licence. The known digests are a fixed table of a few dozen rows, so the hash join broadcasts it and no row of
+    Columns of ``df`` with those names are replaced, and names that begin with two underscores are the scan's own. Null
+    and empty texts have the digest of the empty text and no licence; repeated rows stay, each with its result; an empty
+    table gives no row; a text is read whole, however long. The known digests are a fixed table of a few dozen rows, so the hash join broadcasts it and no row of
     ``df`` is shuffled.
     """
     spark = df.sparkSession
