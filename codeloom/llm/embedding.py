@@ -10,34 +10,74 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, hash_unit, stash
+from codeloom.llm.common import BOUND_ROWS, components, hash_unit, stash
 from codeloom.llm.jaccard import forest
 
 THRESHOLD = 0.9
-#: Vectors of the sample (by hash) on which the rotation and the cells' centres are fitted; they decide the order of
-#: work only, never a result.
-SAMPLE = 4_096
-#: Vectors of a cell that is worth having, and of a tile; dimensions that are added before bounds are looked at again.
-CELL, TILE, BLOCK, STEP = 8_192, 8_192, 1_024, 8
+#: Vectors of the sample (by hash, of each length) on which the rotation and the cells' centres are fitted, and lengths
+#: that are fitted so, the commonest first; they decide the order of work only, never a result.
+SAMPLE, FITTED = 4_096, 8
+#: Vectors of a cell that is worth having, and cells at most, so that what every task gets of their centres is bounded.
+CELL, CELLS = 8_192, 2_048
+#: Vectors and bytes of a tile at most; vectors compared at once; dimensions added before bounds are looked at again.
+TILE, TILE_BYTES, BLOCK, STEP = 8_192, 16 << 20, 1_024, 8
 #: A cosine this close to the threshold is computed again from the vectors as they were given.
 CLOSE = 1e-9
 
 
+def units_of(vectors: list[np.ndarray]) -> np.ndarray:
+    units = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    units /= np.abs(units).max(1, keepdims=True)
+    return units / np.linalg.norm(units, axis=1, keepdims=True)
+
+
 def rotation(sample: np.ndarray) -> np.ndarray:
     """Orthonormal columns by falling second moment of the sample's unit vectors."""
     _, vectors = np.linalg.eigh(sample.T @ sample)
     return vectors[:, ::-1].copy()
 
 
+class Cells:
+    """Centres that cut space into cells. By the bisecting plane of two centres p and q, a vector of cell p is within
+    e = sqrt(2 - 2 t) of a vector x only if x . (q - p) <= e |q - p|: so a vector visits the cells of lower number for
+    which this holds, no pair within reach is lost, and each meets once, in the lower of its cells."""
+
+    def __init__(self, centres: np.ndarray, threshold: float):
+        self.centres = centres
+        self.apart = np.sqrt(np.maximum(0, (centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T))
+        self.reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+
+    def visits(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and which cells it meets others in."""
+        dots = units @ self.centres.T
+        home = dots.argmax(1)
+        near = dots[np.arange(len(units)), home][:, None] - dots <= self.reach * self.apart[home] + 1e-6
+        return home, near & (np.arange(len(self.centres))[None, :] <= home[:, None])
+
+    @staticmethod
+    def fit(units: np.ndarray, n: int, threshold: float) -> Cells | None:
+        """Cells for n vectors like the sample's; none where they would not spare half of the comparisons."""
+        cells = min(n // CELL, CELLS, len(units) // 2)
+        if cells < 2:
+            return None
+        out = Cells(units[:: len(units) // cells][:cells], threshold)
+        home, meets = out.visits(units)
+        own = np.bincount(home, minlength=cells)
+        work = (own * (meets.sum(0) - own / 2)).sum()
+        return out if work < 0.25 * len(units) ** 2 else None
+
+
 class Tile:
     """Vectors with ids and weights, ready to be compared: rotated unit vectors, suffix norms, and the vectors scaled."""
 
-    def __init__(self, ids: list[int], weights: list[int], vectors: list[np.ndarray], basis: np.ndarray):
+    def __init__(self, ids: list[int], weights: list[int], vectors: list[np.ndarray], basis: np.ndarray | None = None):
         self.ids, self.weights = np.array(ids, dtype=np.int64), np.array(weights, dtype=np.int64)
         raw = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
         self.scaled = raw / np.abs(raw).max(1, keepdims=True)
         self.norms = np.linalg.norm(self.scaled, axis=1)
-        self.turned = (self.scaled / self.norms[:, None]) @ basis
+        units = self.scaled / self.norms[:, None]
+        self.basis = rotation(units) if basis is None else basis
+        self.turned = units @ self.basis
         d = self.turned.shape[1]
         self.steps = [s for s in (2 * STEP, 3 * STEP, 4 * STEP, 6 * STEP) if s < d] + [d]
         tail = np.cumsum((self.turned * self.turned)[:, ::-1], 1)[:, ::-1]
@@ -98,111 +138,119 @@ def counts(t: Tile) -> list[tuple]:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of (vec_id, embedding).
 
-    Equal vectors are one node with a weight. Centres from the sample cut space into cells; a vector is compared with
-    its own cell's, and visits each cell of a lower number that may hold a vector within reach of it. By the bisecting
-    plane of two centres p and q, a vector of cell p is within e = sqrt(2 - 2 t) of x only if x . (q - p) <= e |q - p|;
-    so no pair is lost, and each pair meets once, in the lower of its cells. A cell of many vectors is cut into tiles,
-    each of which is compared in a task of its own with itself, later tiles and visitors, a piece at a time. Links leave a task as counts and as a forest.
+    Equal vectors are one node with a weight. Vectors of one length, and of one cell where cells help (see ``Cells``), are
+    dealt to tiles of a bounded size by a hash; each pair of tiles is a task of its own, that holds these two and nothing
+    else. Links leave a task as counts and as a forest. All lengths are handled at once.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing.
-    Vectors of different length do not link. Rows of one id are one vector.
+    Vectors of different length do not link. Rows that repeat an id and its vector are one vector; an id with several
+    vectors is one for each. Other columns are ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
-    x = F.col("embedding").cast("array<double>")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    x = F.col("embedding").cast(kind)
     usable = F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v + F.lit(0.0)).alias("v"), (usable & F.col("vec_id").isNotNull()).alias("ok"))
+    zero = F.lit(0.0).cast("float" if kind == "array<float>" else "double")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v + zero).alias("v"), (usable & F.col("vec_id").isNotNull()).alias("ok"))
     rows = rows.withColumn("v", F.when(F.col("ok"), F.col("v"))).withColumn("key", F.when(F.col("ok"), F.concat_ws(":", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v")))))
-    nodes = stash(rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("d", F.size("v")), "vectors")
-    found = None
-    for d in [r["d"] for r in nodes.groupBy("d").count().orderBy("d").limit(1000).collect()]:
-        part = _links(nodes.where(F.col("d") == d).select("node", "weight", "v"), threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "node long, links long, other long")
+    good = rows.where("ok")
+    weights = good.select("key", "vec_id").distinct().groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    nodes = good.groupBy("key").agg(F.first("v").alias("v")).join(weights, "key").withColumn("d", F.size("v")).withColumn("node", F.monotonically_increasing_id())
+    nodes = stash(nodes, "vectors")
+    found = _links(nodes.select("d", "node", "weight", "v"), threshold)
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    known = nodes.select("key", "node", "weight").join(links, "node", "left").join(parts, "node", "left")
-    known = known.select("key", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    known = nodes.select("key", "node", "least", "weight").join(links, "node", "left").join(parts, "node", "left")
+    known = stash(known.select("key", F.coalesce("component", "node").alias("c"), "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "known")
+    known = known.join(known.groupBy("c").agg(F.min("least").alias("component")), "c").select("key", "links", "component")
     return rows.select("vec_id", "key").join(known, "key", "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept")
     )
 
 
+def _fit(nodes: DataFrame, threshold: float) -> dict[int, tuple[np.ndarray, Cells | None]]:
+    """Rotation and cells of the commonest lengths, from samples; others are rotated by each tile's own vectors."""
+    many = {r["d"]: r["n"] for r in nodes.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") >= CELL).orderBy(F.desc("n"), "d").limit(FITTED).collect()}
+    share = F.lit(0.0)
+    for d, n in many.items():
+        share = F.when(F.col("d") == d, F.lit(SAMPLE / n)).otherwise(share)
+    sample: dict[int, list[tuple]] = {}
+    for r in nodes.where(hash_unit(F.col("node"), F.lit("pca")) < share).select("d", "node", "v").collect() if many else []:
+        sample.setdefault(r["d"], []).append((r["node"], r["v"]))
+    out = {}
+    for d, got in sample.items():
+        units = units_of([v for _, v in sorted(got, key=lambda x: x[0])])
+        basis = rotation(units)
+        out[d] = basis, Cells.fit(units @ basis, many[d], threshold)
+    return out
+
+
 def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     """Links between vectors of one length: rows (node, links, other)."""
-    n = nodes.count()
-    sample = nodes.where(hash_unit(F.col("node"), F.lit("pca")) < SAMPLE / n).select("node", "v").limit(4 * SAMPLE).collect() or nodes.limit(1).select("node", "v").collect()
-    units = np.array([r["v"] for r in sorted(sample, key=lambda r: r["node"])], dtype=np.float64)
-    units /= np.abs(units).max(1, keepdims=True)
-    units /= np.linalg.norm(units, axis=1, keepdims=True)
-    basis = rotation(units)
-    # the number of cells grows with the input, its square root at most: their centres go to every task
-    cells = max(1, min(n // CELL, math.isqrt(n), len(units)))
-    centres = units[:: len(units) // cells][:cells] @ basis
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if cells <= 4096 else None
+    spark = nodes.sparkSession
+    model = _fit(nodes, threshold)
+    held = spark.sparkContext.broadcast(model)  # FITTED rotations and CELLS centres each at most
+    kind = nodes.schema["v"].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            u = np.stack(b["v"].to_list()).astype(np.float64)
-            u /= np.abs(u).max(1, keepdims=True)
-            u /= np.linalg.norm(u, axis=1, keepdims=True)
-            dots = (u @ basis) @ centres.T
-            home = dots.argmax(1)
-            gap = apart[home] if apart is not None else np.linalg.norm(centres[home][:, None] - centres[None], axis=2)
-            near = (dots[np.arange(len(u)), home][:, None] - dots <= reach * gap) & (np.arange(cells)[None, :] <= home[:, None])
-            r, c = np.nonzero(near)
-            take = b.iloc[r]
-            yield pd.DataFrame({"grp": c.astype("int64"), "visitor": c != home[r], "node": take["node"].to_numpy(), "weight": take["weight"].to_numpy(), "v": take["v"].to_numpy()})
-
-    placed = stash(nodes.mapInPandas(place, "grp long, visitor boolean, node long, weight long, v array<double>"), "cells")
-    # vectors at home in a cell are cut into tiles; a tile meets itself, the later tiles and the visitors, in its own task
-    sizes = placed.where("not visitor").groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("tiles"))
-    met = placed.join(F.broadcast(sizes), "grp")  # a row for each cell
-    met = met.withColumn("own", F.when(F.col("visitor"), F.col("tiles")).otherwise(F.pmod(F.xxhash64("node"), F.col("tiles"))).cast("int"))
-    met = met.select("grp", "own", "node", "weight", "v", F.explode(F.sequence(F.lit(0), F.least("own", F.col("tiles") - 1))).alias("i"))
-    met = met.select("grp", "i", (F.col("own") != F.col("i")).alias("probe"), "node", "weight", "v")
+            for d, part in b.groupby("d"):
+                basis, cells = held.value[d]
+                home, meets = cells.visits(units_of(part["v"].tolist()) @ basis)
+                r, c = np.nonzero(meets)
+                take = part.iloc[r]
+                yield pd.DataFrame({"d": d, "grp": c.astype("int32"), "visitor": c != home[r], "node": take["node"].to_numpy(), "weight": take["weight"].to_numpy(), "v": take["v"].to_numpy()})
+
+    celled = [d for d, (_, cells) in model.items() if cells is not None]
+    placed = nodes.where(~F.col("d").isin(celled)).select("d", F.lit(0).alias("grp"), F.lit(False).alias("visitor"), "node", "weight", "v")
+    if celled:
+        visits = nodes.where(F.col("d").isin(celled)).mapInPandas(place, f"d int, grp int, visitor boolean, node long, weight long, v {kind}")
+        placed = stash(placed.unionByName(visits), "cells")
+    # tiles of those at home and of visitors: as few as their size permits, but enough that the pairs are two a partition
+    spread = math.isqrt(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = F.count("*")
+    least = F.least(F.ceil(n / F.lit(64.0)), F.lit(spread)) if not celled else F.lit(1)
+    most = F.greatest(F.lit(64.0), F.least(F.lit(float(TILE)), F.lit(float(TILE_BYTES)) / (8 * F.col("d"))))
+    sizes = placed.groupBy("d", "grp", "visitor").agg(F.greatest(F.ceil(n / most), least, F.lit(1)).cast("int").alias("tiles"))
+    sizes = stash(sizes.groupBy("d", "grp").agg(F.sum(F.when(~F.col("visitor"), F.col("tiles")).otherwise(0)).cast("int").alias("homes"), F.sum(F.when(F.col("visitor"), F.col("tiles")).otherwise(0)).cast("int").alias("guests")).where("homes > 0"), "tiles")
+    # a row for each cell of a fitted length and for each other length
+    met = placed.join(F.broadcast(sizes) if sizes.count() <= BOUND_ROWS else sizes, ["d", "grp"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("visitor"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+    met = met.withColumn("own", F.when(F.col("visitor"), F.col("homes") + own).otherwise(own))
+    # tiles are numbered, visitors' last; one at home meets every tile, a visitor those at home
+    met = met.select("d", "grp", "own", "node", "weight", "v", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("homes")).otherwise(F.col("homes") + F.col("guests")) - 1)).alias("with"))
+    met = met.select("d", "grp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "weight", "v")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = lambda out: pd.DataFrame(out, columns=["node", "links", "other"]).astype({"links": "Int64", "other": "Int64"})
-        task, held, tile = None, [], None  # the rows not yet compared, of the tile or of those that meet it
+        task, rows = None, []
 
         def meet() -> Iterator[tuple]:
-            nonlocal tile, held
-            if held:
-                now = Tile(*zip(*held, strict=True), basis)
-                held = []
-                if tile is None:
-                    tile = now
-                    yield from compare(now, now, threshold)
-                else:
-                    yield from compare(tile, now, threshold)
-                    yield from counts(now)
+            (d, _, i, j), (basis, _) = task, held.value.get(task[0], (None, None))
+            a = [r[1:] for r in rows if r[0] == i]
+            b = [r[1:] for r in rows if r[0] == j] if i != j else a
+            if not a or not b:
+                return
+            a = Tile(*zip(*a, strict=True), basis)
+            b = Tile(*zip(*b, strict=True), a.basis) if i != j else a
+            yield from compare(a, b, threshold)
+            yield from counts(a)
+            if a is not b:
+                yield from counts(b)
 
         for b in batches:
             out: list[tuple] = []
-            for grp, i, probe, *row in zip(*(b[c].tolist() for c in ("grp", "i", "probe", "node", "weight", "v")), strict=True):
-                if task != (grp, i):
-                    out += meet()
-                    out += counts(tile) if tile is not None else []
-                    task, tile, looking = (grp, i), None, False
-                if probe and not looking:
-                    out += meet()
-                    looking = True
-                if looking and tile is None:
-                    continue  # a tile that no vector fell to
-                held.append(row)
-                if looking and len(held) >= TILE:
-                    out += meet()
+            for d, grp, i, j, *row in zip(*(b[c].tolist() for c in ("d", "grp", "i", "j", "own", "node", "weight", "v")), strict=True):
+                if task != (d, grp, i, j):
+                    out += meet() if task else []
+                    task, rows = (d, grp, i, j), []
+                rows.append(row)
             yield frame(out)
-        out = list(meet())
-        yield frame(out + (counts(tile) if tile is not None else []))
+        yield frame(list(meet()) if task else [])
 
-    # a tile's own rows come first, then those that it meets, in pieces
-    met = met.repartition("grp", "i").sortWithinPartitions("grp", "i", "probe")
-    return stash(met.select("grp", "i", "probe", "node", "weight", "v").mapInPandas(run, "node long, links long, other long"), "links")
+    key = ["d", "grp", "i", "j"]
+    met = met.repartition(*key).sortWithinPartitions(*key)
+    return stash(met.select(*key, "own", "node", "weight", "v").mapInPandas(run, "node long, links long, other long"), "links")
 
 
 #: DuckDB: all pairs of usable vectors; for the small tables of a check only.
@@ -213,7 +261,7 @@ with recursive v as (
   select vec_id, list_transform(e, lambda a: a / sqrt(list_sum(list_transform(e, lambda b: b * b)))) e from v
   where e is not null and len(e) > 0 and len(list_filter(e, lambda a: a is null or not isfinite(a))) = 0 and len(list_filter(e, lambda a: a <> 0)) > 0
 ), l as (
-  select a.vec_id x, b.vec_id y from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) >= 0.9
+  select distinct a.vec_id x, b.vec_id y from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) >= 0.9
 ), r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x)
 select d.vec_id as vec_id, coalesce((select count(*) from l where l.x = d.vec_id), 0) as n_links,
   least(d.vec_id, coalesce((select min(y) from r where r.x = d.vec_id), d.vec_id)) as component_id,
