@@ -10,17 +10,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, stash
+from codeloom.llm.common import BOUND_ROWS, components, stash
 
 N, THRESHOLD = 5, 0.8
 #: A pair at the threshold is found with this probability at least; and the largest signature allowed for it.
 RECALL, MOST_HASHES = 1 - 1e-5, 256
-#: Documents, and n-grams, of one tile of a group of candidates.
-TILE_LEAST, TILE_MOST, TILE_GRAMS = 256, 2048, 4_000_000
+#: Documents, and n-grams, of one tile of a group of candidates at most.
+TILE_MOST, TILE_GRAMS = 2048, 4_000_000
 WORD = re.compile(r"\w+")
+BLANK = " \t\n\r\f"
 
 
 def plan(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -53,7 +54,7 @@ class Shingler:
     """Sets of word n-grams as sorted arrays of 64-bit hashes.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer words than n has one n-gram, all its
-    words; a text without words that is not blank has one, the text; null and blank texts have none.
+    words; a text without words that is not blank has one, the text without blanks around it; null and blank texts have none.
     """
 
     def __init__(self, n: int = N, memory: int = 300_000):
@@ -63,7 +64,7 @@ class Shingler:
         text = (text or "").lower()
         words = WORD.findall(text)
         if not words:
-            return np.array([xxhash.xxh3_64_intdigest(b"\0" + text.strip().encode())], dtype=np.uint64) if text.strip() else np.zeros(0, dtype=np.uint64)
+            return np.array([xxhash.xxh3_64_intdigest(b"\0" + bare.encode("utf-8", "surrogatepass"))], dtype=np.uint64) if (bare := text.strip(BLANK)) else np.zeros(0, dtype=np.uint64)
         if len(self.known) > self.memory:
             self.known.clear()
         known = self.known
@@ -92,19 +93,19 @@ def band_hashes(grams: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """Rows (doc_id, key, n_grams, bands); key is a digest of the set, bands is null for an empty set."""
+def signatures(text: Column, n: int = N) -> Column:
+    """struct<key string, n_grams int, bands array<long>> of a text column; key is a digest of the set, null (as bands)
+    for an empty set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("key string, n_grams int, bands array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grams_of = Shingler(n)
-        for b in batches:
-            out = []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
-                g = grams_of(text)
-                out.append((None if doc != doc else doc, xxhash.xxh3_128_hexdigest(g.tobytes()) if len(g) else None, len(g), band_hashes(g) if len(g) else None))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "n_grams", "bands"]).astype({"doc_id": "Int64"})
+        for texts in batches:
+            sets = map(grams_of, texts)
+            out = [(xxhash.xxh3_128_hexdigest(g.tobytes()) if len(g) else None, len(g), band_hashes(g) if len(g) else None) for g in sets]
+            yield pd.DataFrame(out, columns=["key", "n_grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key string, n_grams int, bands array<long>")
+    return run(text)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -156,26 +157,58 @@ def forest(us: np.ndarray, vs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def shared_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band that each row of one matrix of band hashes shares with each of another; BANDS if none."""
+    first = np.full((len(a), len(b)), BANDS, dtype=np.int16)
+    for k in range(BANDS - 1, -1, -1):
+        x, y = a[:, k], b[:, k]
+        both = np.intersect1d(x, y)
+        if len(both):
+            r, c = np.flatnonzero(np.isin(x, both)), np.flatnonzero(np.isin(y, both))
+            hit = x[r][:, None] == y[c][None, :]
+            at = np.ix_(r, c)
+            first[at] = np.where(hit, np.int16(k), first[at])
+    return first
+
+
+def linked_pairs(sides: list[list[tuple]], same: bool, band: int, threshold: float) -> np.ndarray:
+    """Which rows (node, weight, bands, grams) of one tile link with which of the other: pairs that share a band, which is
+    the given one first of all (-1: any), and whose full sets are alike. Few pairs are compared one by one, many as products."""
+    left, right = sides
+    first = shared_band(*(np.stack([x[2] for x in side]) for side in sides))
+    asked = first == band if band >= 0 else first < BANDS
+    if same:
+        asked &= np.triu(np.ones(asked.shape, dtype=bool), 1)
+    r, c = np.nonzero(asked)
+    out = np.zeros(asked.shape, dtype=bool)
+    if 16 * len(r) > asked.size:
+        size = [np.array([len(x[3]) for x in side], dtype=np.float64) for side in sides]
+        common = overlaps(*([x[3] for x in side] for side in sides)).astype(np.float64)
+        out = asked & (common >= threshold * (size[0][:, None] + size[1][None, :] - common) - 1e-9)
+    else:
+        for i, j in zip(r.tolist(), c.tolist(), strict=True):
+            x, y = left[i][3], right[j][3]
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9:
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out[i, j] = common >= threshold * (len(x) + len(y) - common) - 1e-9
+    return out | out.T if same else out
+
+
 def verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (grp, i, j, tile, node, weight, grams binary), sorted by (grp, i, j) in their partitions, to rows
-    (node, links, other): the weights of the nodes linked with a node in this pair of tiles, and edges of a forest."""
+    """Rows (grp, band, i, j, tile, node, weight, bands, grams binary), sorted by (grp, band, i, j) in their partitions, to
+    rows (node, links, other): the weights of the nodes linked with a node in this pair of tiles, and edges of a forest."""
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
-        i, j = rows[0][1], rows[0][2]
+        _, band, i, j = rows[0][:4]
         sides = []
         for tile in (i, j):
-            seen = {node: (node, weight, np.frombuffer(grams, dtype=np.uint64)) for _, _, _, t, node, weight, grams in rows if t == tile}
+            seen = {node: (node, weight, bands, np.frombuffer(grams, dtype=np.uint64)) for *_, t, node, weight, bands, grams in rows if t == tile}
             sides.append([seen[k] for k in sorted(seen)])
         left, right = sides
         if not left or not right or (i == j and len(left) < 2):
             return
-        sets = [[x[2] for x in side] for side in sides]
-        size = [np.array([len(g) for g in s], dtype=np.float64) for s in sets]
-        common = overlaps(*sets).astype(np.float64)
-        linked = common >= threshold * (size[0][:, None] + size[1][None, :] - common) - 1e-9
+        linked = linked_pairs(sides, i == j, band, threshold)
         ids, weights = [np.array([x[0] for x in side]) for side in sides], [np.array([x[1] for x in side], dtype=np.int64) for side in sides]
-        if i == j:
-            np.fill_diagonal(linked, False)
         for n, (node, total) in enumerate(zip(ids[0].tolist(), (linked @ weights[1]).tolist(), strict=True)):
             if linked[n].any():
                 yield node, total, None
@@ -192,8 +225,8 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
         held: list[tuple] = []
         out: list[tuple] = []
         for b in batches:
-            for row in zip(*(b[c].tolist() for c in ("grp", "i", "j", "tile", "node", "weight", "grams")), strict=True):
-                if held and held[0][:3] != row[:3]:
+            for row in zip(*(b[c].tolist() for c in ("grp", "band", "i", "j", "tile", "node", "weight", "bands", "grams")), strict=True):
+                if held and held[0][:4] != row[:4]:
                     out += one(held)
                     held = []
                     if len(out) > 20_000:
@@ -207,59 +240,90 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(run, "node long, links long, other long")
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, class_id, n_links): the least id that links reach, and how many other documents are linked directly.
+def tiles_of(m: Column, grams: Column, spread: int) -> Column:
+    """Tiles of ``m`` members with so many n-grams together: as few as hold them, but, so that a large bucket does not
+    fall to a few tasks, enough that their pairs are two for each partition, of 64 members at the least."""
+    wanted = F.least(m / F.lit(64.0), F.lit(float(math.isqrt(4 * spread))))
+    return F.greatest(F.ceil(m / F.lit(float(TILE_MOST))), F.ceil(grams / F.lit(float(TILE_GRAMS))), F.ceil(wanted), F.lit(1)).cast("int")
 
-    Two documents are linked if the Jaccard index of their sets of word n-grams is ``threshold`` or more. Documents of
-    equal sets are one node with a weight, so copies meet in a count and never in pairs. Nodes of one band hash are tied
-    to the least of them; the connected groups of these ties hold every candidate pair once. A large group is cut into
-    tiles and each pair of tiles is compared in a task of its own, by full sets. Nothing caps a bucket or a group.
 
-    Rows of one id are one document. Null and blank texts link with nothing, rows without an id neither (class null).
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, class_id, n_links, kept, text_hash), one for each row: the least id that links reach, how many other
+    documents are linked directly, whether the row is the first of its class, and xxhash64 of the text.
+
+    Two documents are linked if they share a band and the Jaccard index of their full sets of word n-grams is
+    ``threshold`` or more. Documents of equal sets are one node with a weight, so copies meet in a count and never in
+    pairs. Nodes of one band hash are tied to the least of them. In a connected group of ties of a moderate size every
+    node is sent once for each pair of tiles; in a larger one to each of its buckets instead, which are cut into tiles
+    themselves; either way only pairs that share a band are compared, once. Nothing caps a bucket or a group.
+
+    A document is an id with a text: rows that repeat both count once, an id with several texts is one document for each.
+    Null and blank texts link with nothing, rows without an id neither (class null, kept). Other columns are ignored; an
+    empty table gives no row; a text is read whole, however long.
     """
     spark = docs.sparkSession
-    signed = stash(signatures(docs, n), "sig")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), signatures(F.col("text"), n).alias("s"))
+    signed = stash(read.select("doc_id", "text_hash", "s.*"), "sig")
     usable = signed.where("key is not null and doc_id is not null")
-    nodes = stash(usable.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))  # a band's hash holds its number
-    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    ties = banded.join(shared, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    weights = usable.select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+    sets = usable.groupBy("key").agg(F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).join(weights, "key")
+    nodes = stash(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))  # a band's hash holds its number
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    ties = banded.join(shared, "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     groups = stash(components(stash(ties, "ties")), "groups").toDF("node", "grp")
-    members = nodes.select("node", "key", "weight", "n_grams").join(groups, "node")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g"))
-    tile = F.least(F.greatest(F.col("m") / 8, F.lit(float(TILE_LEAST))), F.lit(float(TILE_MOST)))
-    sizes = sizes.withColumn("tiles", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("g") / F.lit(float(TILE_GRAMS)))).cast("int")).select("grp", "tiles")
-    members = members.join(sizes, "grp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node")
+    members = stash(nodes.select("node", "key", "least", "weight", "n_grams", "bands").join(groups, "node"), "members")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).withColumn("tiles", tiles_of(F.col("m"), F.col("g"), spread))
+    sizes = stash(sizes.select("grp", F.col("tiles").alias("group_tiles")), "sizes")
+    # the texts of members only: as long as their ids are few they are sent to the documents, else both sides are dealt
+    wanted = members.select(F.col("least").alias("id")).distinct()
+    few = members.count() <= BOUND_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    texts = texts.join(members.withColumnRenamed("least", "id").select("id", "node", "key", "weight", "grp", "n_grams", "bands"), "id")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams_of = Shingler(n)
         for b in batches:
             out = []
-            for *row, key, text in zip(*(b[c].tolist() for c in ("grp", "tile", "tiles", "node", "weight", "key", "text")), strict=True):
-                if xxhash.xxh3_128_hexdigest(data := grams_of(text).tobytes()) == key:  # else another row of this id
+            for *row, key, text in zip(*(b[c].tolist() for c in ("grp", "node", "weight", "n_grams", "bands", "key", "text")), strict=True):
+                if xxhash.xxh3_128_hexdigest(data := grams_of(text).tobytes()) == key:  # else another text of this id
                     out.append((*row, data))
-            yield pd.DataFrame(out, columns=["grp", "tile", "tiles", "node", "weight", "grams"])
-
-    sets = texts.select("grp", "tile", "tiles", "node", "weight", "key", "text").mapInPandas(grams, "grp long, tile int, tiles int, node long, weight long, grams binary")
-    met = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-    met = met.select("grp", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "weight", "grams")
-    found = stash(verify(met.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), threshold), "links")
+            yield pd.DataFrame(out, columns=["grp", "node", "weight", "n_grams", "bands", "grams"])
+
+    full = texts.select("grp", "node", "weight", "n_grams", "bands", "key", "text").mapInPandas(grams, "grp long, node long, weight long, n_grams int, bands array<long>, grams binary").join(sizes, "grp")
+    moderate = full.where(F.col("group_tiles") <= 2 * BANDS).select(F.col("grp").alias("bucket"), F.lit(-1).alias("band"), F.col("group_tiles").alias("tiles"), "node", "weight", "bands", "grams")
+    wide = sizes.where(F.col("group_tiles") > 2 * BANDS)
+    if not wide.isEmpty():
+        large = full.join(wide.select("grp"), "grp", "left_semi").select(F.posexplode("bands").alias("band", "bucket"), "node", "weight", "n_grams", "bands", "grams")
+        counts = members.join(wide.select("grp"), "grp", "left_semi").select(F.explode("bands").alias("bucket"), "n_grams").groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).where("m > 1")
+        dealt = large.join(counts.withColumn("tiles", tiles_of(F.col("m"), F.col("g"), spread)).select("bucket", "tiles"), "bucket")
+        moderate = moderate.unionByName(dealt.select("bucket", "band", "tiles", "node", "weight", "bands", "grams"))
+    dealt = moderate.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    met = met.select(F.col("bucket").alias("grp"), "band", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "weight", "bands", "grams")
+    order = ["grp", "band", "i", "j"]
+    found = stash(verify(met.repartition(*order).sortWithinPartitions(*order), threshold), "links")
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
-    known = nodes.select("key", "node", "weight").join(links, "node", "left").join(classes, "node", "left")
-    known = known.select("key", F.coalesce("component", "node").alias("class"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left").select(
-        "doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
-    )
-
-
+    known = nodes.select("key", "node", "least", "weight").join(links, "node", "left").join(classes, "node", "left")
+    known = stash(known.select("key", F.coalesce("component", "node").alias("c"), "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "known")
+    heads = known.groupBy("c").agg(F.min(F.struct("least", "key")).alias("head"))  # the first of each class
+    known = known.join(heads, "c").select("key", "links", F.col("head.least").alias("class"), (F.col("head.key") == F.col("key")).alias("first"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")
+    return signed.select("doc_id", "text_hash", own).join(known, "key", "left").select(
+        "doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("first") & (F.col("class") == F.col("doc_id")), F.lit(True)).alias("kept"), "text_hash",
+    )
+
+
+#: DuckDB: all pairs of texts with a common n-gram; for the small tables of a check only.
 SQL = """
 with recursive w as (
-  select doc_id, regexp_extract_all(lower(coalesce("text", '')), '[\\p{L}\\p{N}_]+') ws from documents
+  select doc_id, regexp_extract_all(lower(coalesce("text", '')), '[\\p{L}\\p{N}_]+') ws, regexp_replace(lower(coalesce("text", '')), '^\\s+|\\s+$', '', 'g') bare from documents
 ), s as (
-  select doc_id, unnest(list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) else [array_to_string(ws, ' ')] end)) g
-  from w where len(ws) > 0
+  select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [chr(10) || bare] end) g
+  from w where len(ws) > 0 or bare <> ''
 ), z as (select doc_id, count(*) n from s group by doc_id)
 , c as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2)
 , l as (select x, y from c join z a on a.doc_id = x join z b on b.doc_id = y where 5 * c >= 4 * (a.n + b.n - c))
