@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import tiktoken
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm import bpe
+from codeloom.llm.common import stash
+
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Documents that one shard packs; the number of shards grows with the input.
-DOCS_PER_SHARD = 4096
-SCHEMA = "doc_id long, piece int, start long, n_tokens int, bin_id long, bin_capacity int, bin_offset int, bin_used int"
+#: Documents, and tokens, that one shard packs; the number of shards grows with the input.
+DOCS_PER_SHARD, TOKENS_PER_SHARD = 4_096, 4_000_000
+#: White space that the tokenizer library's pattern matching fails at when it is much longer.
+BLANKS = re.compile(r"\s{2000}")
+SCHEMA = "doc_id long, piece int, start long, n_tokens int, bin_id long, bin_capacity int, bin_offset int, bin_used int, token_ids array<int>"
 
 
 def bin_cost(capacity: int) -> float:
@@ -63,42 +71,69 @@ def pack_shard(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES) -
     return bins, offsets, final
 
 
-def pack(df: DataFrame, doc_id: Column, length: Column, capacities: Sequence[int] = CAPACITIES, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """Pack every row of ``df``; one row for each piece: its document, place in the document, bin and place in the bin.
+def pack(df: DataFrame, doc_id: Column, tokens: Column, capacities: Sequence[int] = CAPACITIES, docs_per_shard: int = DOCS_PER_SHARD, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
+    """Pack the token ids of every row of ``df``; one row for each piece: its document, place in the document, bin, place
+    in the bin, and ``token_ids``, of which the rows of a bin in the order of ``bin_offset`` are its contents.
 
-    Rows are dealt to shards by a hash of id and length, so no key is hot; a shard is a bounded number of documents, of
-    which only id and length are shuffled. A null length or one of 0 gives one piece of 0 tokens without a bin.
-    Repeated rows are packed each on their own. Bin ids are unique over all shards.
+    Tokens are made once and written; each row then has a number, by whose hash rows are dealt to shards, so neither
+    repeated rows nor a hot id meet in one. A shard is a bounded number of documents and of tokens, but for a document
+    that is longer by itself. Null or no tokens give one piece of 0 tokens without a bin; a null id stays null; repeated
+    rows are packed each on their own; equal lengths are placed in the order of the rows. Bin ids are unique over all
+    shards. Other columns of ``df`` are not used; an empty table gives no row.
     """
-    shards = max(1, math.ceil(df.count() / docs_per_shard))
-    rows = df.select(doc_id.cast("long").alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)))
+    ids = F.coalesce(tokens, F.array().cast("array<int>"))
+    rows = df.select(doc_id.cast("long").alias("doc_id"), ids.alias("ids")).withColumn("n", F.size("ids").cast("long"))
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    total = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
+    shards = max(1, math.ceil(total["docs"] / docs_per_shard), math.ceil((total["tokens"] or 0) / tokens_per_shard))
     largest = max(capacities)
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "ids")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], na_position="last")
-        ids, at, empty = [], [], []
-        for doc, n in zip(pdf["doc_id"].tolist(), pdf["n"].tolist(), strict=True):
-            doc = None if doc != doc else doc
-            cut = pieces_of(int(n), largest)
-            ids += [(doc, k) for k in range(len(cut))]
-            at += cut
-            if not cut:
-                empty.append(doc)
-        bins, offsets, caps = pack_shard([n for _, n in at], capacities)
-        held = [0] * len(caps)
-        for b, (_, n) in zip(bins, at, strict=True):
-            held[b] += n
+        pdf = pdf.sort_values("row")
+        held = pdf["ids"].tolist()
+        at = [(r, k, s, n) for r, ids in enumerate(held) for k, (s, n) in enumerate(pieces_of(len(ids), largest))]
+        bins, offsets, caps = pack_shard([n for *_, n in at], capacities)
+        used = [0] * len(caps)
+        for b, (*_, n) in zip(bins, at, strict=True):
+            used[b] += n
         base = int(pdf["shard"].iloc[0]) << 32
-        out = [(d, k, s, n, base + b, caps[b], o, held[b]) for (d, k), (s, n), b, o in zip(ids, at, bins, offsets, strict=True)]
-        out += [(d, 0, 0, 0, None, None, None, None) for d in empty]
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-        kinds = {"doc_id": "Int64", "bin_id": "Int64", "bin_capacity": "Int32", "bin_offset": "Int32", "bin_used": "Int32"}
-        return frame.astype(kinds)
+        out = [(r, k, s, n, base + b, caps[b], o, used[b], held[r][s : s + n]) for (r, k, s, n), b, o in zip(at, bins, offsets, strict=True)]
+        out += [(r, 0, 0, 0, None, None, None, None, []) for r, ids in enumerate(held) if not len(ids)]
+        frame = pd.DataFrame(out, columns=["doc_id", *(x.split()[0] for x in SCHEMA.split(", ")[1:])])
+        whose = frame["doc_id"].to_numpy(dtype="int64")
+        frame["doc_id"] = pd.array(pdf["doc_id"].to_numpy()[whose], dtype="Int64")
+        frame.loc[pdf["no_id"].to_numpy()[whose], "doc_id"] = pd.NA
+        return frame.astype({"bin_id": "Int64", "bin_capacity": "Int32", "bin_offset": "Int32", "bin_used": "Int32"})
+
+    return dealt.groupBy("shard").applyInPandas(one, SCHEMA)
 
-    return rows.groupBy("shard").applyInPandas(one, SCHEMA)
 
+def tokens(spark: SparkSession, text: Column, vocabulary: str, pattern: str) -> Column:
+    """Token ids of a text column by the ranks of a ``.tiktoken`` file, without special tokens; null texts are null.
 
-def token_estimate(text: Column) -> Column:
-    """Tokens of a text: a quarter of its code points, rounded up; null: 0."""
-    return F.ceil(F.coalesce(F.char_length(text), F.lit(0)) / 4)
+    The tokenizer library encodes. ``bpe`` gives the same ids by a method of its own, and takes the texts with runs of
+    white space so long that the library could run out of stack.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    held = spark.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks = {t: i for i, t in enumerate(held.value)}
+        library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = None
+        for texts in batches:
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                elif BLANKS.search(t):
+                    own = own or bpe.Codec(held.value, pattern)
+                    out.append(np.array(own.encode(t), dtype=np.int32))
+                else:
+                    out.append(np.array(library.encode_ordinary(t), dtype=np.int32))
+            yield pd.Series(out, dtype=object)
+
+    return encode(text)

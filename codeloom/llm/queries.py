@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, chat, embedding, fingerprint, html, jaccard, language, licenses, packing, toxicity
-from codeloom.llm.common import held_out, table
+from codeloom.llm.common import held_out, stash, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, F.col("doc_id"), packing.token_estimate(F.col("text")))
+    return packing.pack(docs, F.col("doc_id"), packing.tokens(spark, F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     total = marks.count()
     # about twice the sample at most: a bounded table, so it may be broadcast to the documents
     marks = marks.where(toxicity.hash_unit(F.col("doc_id"), F.lit("sample")) < toxicity.SAMPLE / max(total, 1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit(docs.join(F.broadcast(marks), "doc_id").select("text", "toxic", F.col("doc_id").alias("key")), sample=10**12)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    labelled = stash(docs.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "sample")
+    return toxicity.fit(labelled.select("text", "toxic", F.col("doc_id").alias("key")), sample=10**12)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,16 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(chat.neighbours(table(spark, sf_dir, "conversations")))
 
 
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``op10_preference_format`` assembled: a row for each pair, masks as text."""
+    pairs = chat.assemble(op10_preference_format(spark, sf_dir))
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["length"].cast("string"), x["loss"].cast("string"))), ",")
+    return pairs.select("pair_id", "prompt", "chosen", "rejected", *(said(c).alias(c) for c in ("chosen_mask", "rejected_mask")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_embedding_near_dedup, op4_toxicity, op5_order_minhash, op6_byte_bpe, op7_ngram_jaccard, op8_html_extraction, op9_language_id, op10_preference_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_license_scan, op3_embedding_near_dedup, op4_toxicity, op5_order_minhash, op6_byte_bpe, op7_ngram_jaccard, op8_html_extraction, op9_language_id, op10_preference_format, preference_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.sql(), "op3_embedding_near_dedup": embedding.SQL, "op7_ngram_jaccard": jaccard.SQL, "op10_preference_format": chat.SQL}
+    return {"op2_license_scan": licenses.sql(), "op3_embedding_near_dedup": embedding.SQL, "op7_ngram_jaccard": jaccard.SQL, "op10_preference_format": chat.SQL, "preference_pairs": chat.PAIRS_SQL}
