@@ -1,6 +1,10 @@
 import base64
 import hashlib
+import math
+import pathlib
 import random
+import statistics
+import time
 
 import public_tokenizers
 import pytest
@@ -61,12 +65,38 @@ def test_packing_is_best_fit(lengths):
     assert sorted(zip(used, final, strict=True)) == brute_best_fit(lengths, caps)
 
 
+BIG = 2**53 + 1
+
+
 def test_packing_edges(spark):
-    rows = [(1, 0), (2, 5), (2, 5), (3, 40), (None, 3), (4, None)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n long"), F.col("doc_id"), F.col("n"), capacities=(8, 16)).toPandas()
-    assert out.n_tokens.sum() == 53 and sorted(out[out.doc_id == 3].n_tokens) == [8, 16, 16]
-    assert out[out.n_tokens == 0].bin_id.isna().all() and (out[out.n_tokens > 0].bin_used <= out[out.n_tokens > 0].bin_capacity).all()
-    assert packing.pack(spark.createDataFrame([], "doc_id long, n long"), F.col("doc_id"), F.col("n")).count() == 0
+    """Null ids beside ids that no double holds, null and empty tokens, repeated rows, extra columns, an empty table."""
+    rows = [(1, []), (2, [7] * 5), (2, [7] * 5), (3, list(range(40))), (None, [1, 2, 3]), (4, None), (BIG, [5, 6]), (BIG + 2, [8])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, ids array<int>, shard string, bin_id int")
+    out = packing.pack(df, F.col("doc_id"), F.col("ids"), capacities=(8, 16)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in out) == sorted((i is None, i or 0, n) for i, t in rows for n in ([16, 16, 8] if i == 3 else [len(t or [])]))
+    assert all((r.bin_id is None) == (r.n_tokens == 0) and len(r.token_ids) == r.n_tokens for r in out)
+    whole = sorted((r for r in out if r.doc_id == 3), key=lambda r: r.piece)
+    assert [x for r in whole for x in r.token_ids] == list(range(40)) and [r.start for r in whole] == [0, 16, 32]
+    bins = {}
+    for r in out:
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append(r)
+    for members in bins.values():
+        members.sort(key=lambda r: r.bin_offset)
+        ends = [0]
+        for r in members:
+            assert r.bin_offset == ends[-1]
+            ends.append(r.bin_offset + r.n_tokens)
+        assert ends[-1] == members[0].bin_used <= members[0].bin_capacity and members[0].bin_capacity == min(c for c in (8, 16) if c >= ends[-1])
+    assert sorted((b[0].bin_used, b[0].bin_capacity) for b in bins.values()) == brute_best_fit([5, 5, 16, 16, 8, 3, 2, 1], (8, 16))
+    assert packing.pack(df.limit(0), F.col("doc_id"), F.col("ids")).count() == 0
+
+
+def test_tokens_equal_the_library(spark, library):
+    texts = ["Über alles", "", None, "x" * 5000, "a" + " " * 5000 + "b", "\n" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: r.t for r in df.select("k", packing.tokens(spark, F.col("text"), PATH, public_tokenizers.PATTERN).alias("t")).collect()}
+    assert got == {k: None if t is None else library.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
 # --- licences
@@ -89,8 +119,39 @@ def test_licence_digests_agree_between_python_and_columns(spark):
     assert all(r["license_id"] == r["name"] for r in got)
 
 
+def test_whole_licences(spark):
+    """Whole texts of longer licences are known by their digests, with another holder and layout too."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "GPL-2": "GPL-2.0"}
+    if not (folder / "GPL-3").exists():
+        pytest.skip("no licence texts on this machine")
+    docs = [(name, " \n" + (folder / f).read_text().replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Some Body").replace("\n", "\n   ").upper()) for f, name in names.items()]
+    got = licenses.scan(spark.createDataFrame([*docs, ("none", docs[0][1] + " and more")], "name string, text string")).collect()
+    assert {r["name"]: r["license_id"] for r in got} == {n: n for n in names.values()} | {"none": None}
+
+
 # --- toxicity
 
+def test_long_runs_are_linear():
+    for text in ("1 " + "abcdefghij" * 100_000, "a1" * 500_000, "x" * 1_000_000, "!" * 1_000_000):
+        began = time.perf_counter()
+        toxicity.features(text, toxicity.Lexicon())
+        assert time.perf_counter() - began < 3
+    assert toxicity.disguised("You 1d10t! f*ck 12 ab! " + "w0" * 50) == ["1d10t", "f*ck", "w0" * 50]
+
+
+def brute_raw(m, row):
+    """One row down every tree."""
+    total = m.base
+    for splits, leaves in m.trees:
+        node = 0
+        for level in splits:
+            feature, cut = level[node]
+            node = 2 * node + int(sum(e < row[feature] for e in m.edges[feature]) > cut)
+        total += leaves[node]
+    return total
+
+
 def test_features_and_trees():
     lex = toxicity.lexicon_of([("qwxa", 9, 0), ("zork*", 8, 0), ("the", 9, 90)], 10, 100)
     assert "qwxa" in lex.words and "zork" in lex.prefixes and "the" not in lex.words
@@ -105,6 +166,7 @@ def test_features_and_trees():
     y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
     m = toxicity.Boosted(rounds=40).fit(x[:400], y[:400])
     assert ((m.raw(x[400:]) > 0) == y[400:]).mean() > 0.9
+    assert np.allclose(m.raw(x[400:]), [brute_raw(m, r) for r in x[400:]])
     xs, ys = toxicity.isotonic(m.raw(x[400:]), y[400:])
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
 
@@ -141,6 +203,15 @@ def test_toxicity_learns_and_scores_held_out(spark):
     assert odd.s.between(0, 1).all()
     empty = toxicity.fit(df.limit(0))
     assert 0 <= empty(["a"])[0] <= 1
+    # repeated rows, rows without label or key, and extra columns change nothing
+    more = df.unionByName(df).unionByName(spark.createDataFrame([(None, "you grubnak", 1), (900, "you grubnak", None)], df.schema)).withColumn("u", F.lit("clash")).withColumn("score", F.lit(1))
+    again = toxicity.fit(more.where("key is null or key < 500 or key = 900"))
+    texts = [r[1] for r in rows[500:]]
+    assert again(texts).tolist() == model(texts).tolist()
+    assert df.limit(0).select(toxicity.score(model, F.col("text"))).count() == 0
+    # a third of the rows under one id, each with another text: one document
+    hot = df.unionByName(spark.createDataFrame([(3, f"plain words {k}", 0) for k in range(350)], df.schema))
+    assert toxicity.fit(hot)(["you grubnak vexpolbada " * 3])[0] > 0.5
 
 
 # --- fingerprints
@@ -173,27 +244,38 @@ def test_order_matters_and_occurrences_count():
     assert len(set(fingerprint.kmers("aaaaaaaaaaaa").tolist())) == 7
 
 
+def brute_next(rows):
+    """(id, text) of each row with the fingerprints of its edited text and of the next: ids fall, null last."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    out = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        changed = t[: len(t) - half] + u[:half]
+        a, b, c = (fingerprint.sketch(x) for x in (t, changed, u))
+        same = lambda x, y: sum(p == q for p, q in zip(x.tolist(), y.tolist(), strict=True)) / fingerprint.TUPLES
+        out.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), a.astype(">u4").tobytes().hex(), b.astype(">u4").tobytes().hex(), same(a, b), same(a, c)))
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("per_range", [3, 1000])
 def test_next_document(spark, per_range):
     rnd = random.Random(5)
-    docs = [(rnd.randrange(10**6), "".join(rnd.choice("abc é😀") for _ in range(rnd.randrange(40)))) for _ in range(25)] + [(10**7, None), (-5, "")]
-    docs = sorted(dict(docs).items(), reverse=True)
-    got = {r.doc_id: r for r in fingerprint.compare_with_next(spark.createDataFrame(docs, "doc_id long, text string"), per_range).collect()}
-    assert len(got) == len(docs)
-    for (i, t), (_, u) in zip(docs, docs[1:] + docs[:1], strict=True):
-        t, u = t or "", u or ""
-        changed = fingerprint.edit(t, u)
-        r = got[i]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert r.near_next == fingerprint.likeness(fingerprint.sketch(t), fingerprint.sketch(u))
+    docs = dict([(rnd.randrange(10**6), "".join(rnd.choice("abc é😀") for _ in range(rnd.randrange(40)))) for _ in range(25)] + [(BIG, "big one abcdef"), (BIG + 1, "big two abcdef"), (-5, ""), (None, "no id abcdef")])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("h", F.lit(None))
+    assert sorted(map(tuple, fingerprint.compare_with_next(df, per_range).collect()), key=str) == brute_next(list(docs.items()))
 
 
 def test_next_document_edges(spark):
-    make = lambda rows: fingerprint.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    make = lambda rows, *a: fingerprint.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string"), *a)
     assert make([]).count() == 0
     one = make([(7, "abcdefgh")]).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcdabcd").hexdigest() and one.near_next == 1.0
     assert make([(1, "a"), (1, "a"), (None, "b"), (None, None)]).count() == 4
+    # a third of the rows are one row: it fills ranges of its own, and its copies follow each other
+    hot = [(50, "hot text abcdefghij")] * 120 + [(k, f"document {k} of these") for k in range(100)]
+    got = make(hot, 10)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_next(hot)
 
 
 # --- BPE
@@ -214,6 +296,8 @@ def test_bpe_long_runs_and_column(spark, codec, library):
     by = {r.doc_id: r for r in got}
     assert by[1].n_tokens == len(want) and by[1].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
     assert by[2].n_tokens == 0 and by[2].decoded_sha256 == hashlib.sha256(b"").hexdigest() and len(got) == 4
+    odd = df.withColumn("n_tokens", F.lit("clash")).limit(0)
+    assert odd.select("n_tokens", bpe.codec_columns(spark, PATH, public_tokenizers.PATTERN, F.col("text")).alias("c")).count() == 0
 
 
 def test_perfect_hash():
@@ -249,6 +333,94 @@ def test_no_article_element_and_edges(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "", 0), (2, "", 0), (3, "é", 1), (3, "é", 1)]
 
 
+def test_marks_and_missing_ends():
+    """Ends of elements that were left out, comments as articles, adverts as paragraphs, links among the paragraphs."""
+    story = "Story words here. " * 10
+    for page, want in (
+        ("<html><head><title>T</title><body><article><p>Hello my friend</article>", "Hello my friend"),
+        ("<html><head><title>T</title><p>Hello my friend", "Hello my friend"),
+        (f"<body><nav><ul><li><a href=a>A</a></ul><div><p>{story}</p><p>More.</p></div>", f"{story.strip()}\nMore."),
+        ("<body><nav><a href=a>A</a><article><p>Hello world text</p></article>", "Hello world text"),
+        ("<article><p>Story text here.</p><article class=comment><p>Nice post, I like it a lot</p></article><p class=advert>Buy</p></article>", "Story text here."),
+        (f"<body><p>{story}</p><p><a href=x>A link only</a></p><p>End</p><ul><li><a href=1>m1</a><li><a href=2>m2</a></ul>", f"{story.strip()}\nA link only\nEnd"),
+        ("<form id=f><nav><a href=x>X</a></nav><article><p>Text of it</p></article></form>", "Text of it"),
+    ):
+        assert html.main_text(page) == want
+
+
+def brute_main_text(page):
+    """The same rule without running sums: ancestors by walking up, smoothing and clustering by their formulas."""
+    p = html.Blocks()
+    p.feed(page)
+    p.close()
+    p.flush()
+    while p.stack:
+        p.pop(ended=False)
+    up = lambda k: [k, *up(p.parent[k])] if k >= 0 else []
+    article = lambda k: p.kind[k] in ("article", "main")
+    frame = lambda k: p.kind[k] == "form" and any(article(x) and k in up(x) for x in range(len(p.kind)))
+    off = lambda at: any(p.marked[k] and (p.ended[k] or p.kind[k] in html.SILENT) and not frame(k) for k in up(at))
+    plain = [0 if off(at) else max(len(t) - n, 0) for t, _, n, at in p.blocks]
+    if not p.blocks or all(off(b[3]) for b in p.blocks):
+        return ""
+    ratio = [n / max(b[1], 1) for n, b in zip(plain, p.blocks, strict=True)]
+    reach = 5
+    weight = lambda i, j: math.exp(-((i - j) ** 2) / (2 * html.SIGMA**2)) if abs(i - j) <= reach else 0.0
+    n = len(ratio)
+    score = [sum(weight(i, j) * ratio[j] for j in range(n)) / sum(weight(i, j) for j in range(n)) * plain[i] / len(p.blocks[i][0]) for i in range(n)]
+    cut = (min(score) + max(score)) / 2
+    for _ in range(50):
+        low, high = [v for v in score if v <= cut], [v for v in score if v > cut]
+        if low and high:
+            cut = (statistics.fmean(low) + statistics.fmean(high)) / 2
+    use = [s > cut or s == max(score) for s in score] if max(score) > 0 else [not off(b[3]) for b in p.blocks]
+    named = [any(map(article, up(b[3]))) and not off(b[3]) for b in p.blocks]
+    outer = lambda k: next((x for x in up(k) if p.kind[x] not in html.LINES), -1)
+    link = [b[2] >= 0.8 * len(b[0]) for b in p.blocks]
+    sound = {outer(b[3]) for b, u, x in zip(p.blocks, use, link, strict=True) if u or not x}
+    menu = [x and not u and not m and not off(b[3]) and outer(b[3]) not in sound for b, u, x, m in zip(p.blocks, use, link, named, strict=True)]
+    inside = lambda at, k: k < 0 or k in up(at)
+    core = [b[3] for b, u, m in zip(p.blocks, use, named, strict=True) if u or m]
+    region = outer(max((k for k in range(len(p.kind)) if all(inside(at, k) for at in core)), default=-1))
+    bad = lambda k: sum(inside(b[3], k) for b, m in zip(p.blocks, menu, strict=True) if off(b[3]) or m)
+    while region >= 0 and bad(p.parent[region]) == bad(region):
+        region = p.parent[region]
+    return "\n".join(b[0] for b, u, m in zip(p.blocks, use, menu, strict=True) if (u or not (m or off(b[3]))) and inside(b[3], region))
+
+
+BITS = ["<nav>", "</nav>", "<div>", "</div>", "<div class=ad>", "<article>", "</article>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "<a href=x>", "</a>", "<h1>", "</h1>", "<br>", "<form>", "</form>", "<main>", "<footer>", "</footer>", "<p class=advert>", "word", "Some words of a story. ", "A far longer run of words, as the text of a page would have it. ", "<section>", "</section>", "<b>", "<script>x</script>", "<head>", "<body>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=60))
+def test_regions_equal_brute_force(bits):
+    page = "".join(bits)
+    assert html.main_text(page) == brute_main_text(page)
+
+
+def test_clusters_decide(monkeypatch):
+    """Without the clustering, or the smoothing, other text comes out."""
+    story = "<p>" + "Story words here. " * 10 + "</p>"
+    page = f"<body><nav><p>Menu</p></nav><div>{story * 3}</div><div><div>Imprint</div><div>Terms</div></div></body>"
+    want = "\n".join(["Story words here. " * 10] * 3).replace(" \n", "\n").strip()
+    short = f"<div><div>{story * 3}</div><div><p>An aside of few words</p></div><div><nav>x</nav></div>{story}</div>"
+    assert html.main_text(PAGE).startswith("Title") and html.main_text(page).startswith(want)
+    whole = html.main_text(short)
+    monkeypatch.setattr(html, "choose", lambda scores: [True] * len(scores))
+    assert "Menu" in html.main_text(page) and "Menu" in html.main_text(f"<body><nav>Menu</nav>{story}") and "x" in html.main_text(short).split("\n")
+    monkeypatch.undo()
+    assert html.main_text(short) == whole
+
+
+def test_html_is_linear(spark):
+    for page in ("<div><p>word text here" * 20_000, "<b>x<p>y" * 20_000, "<div>" * 20_000 + "text" + "</span></p></div>" * 20_000, "<h1>x" * 20_000, "<p>" + "word " * 400_000):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 5
+    df = spark.createDataFrame([], "page_id long, html string, text string, n_chars long")
+    assert df.select("page_id", "text", html.extract(F.col("html")).alias("m")).count() == 0
+
+
 def test_split_content_is_kept_whole():
     """The region holds every chosen block: sections, sibling articles, a headline outside the article."""
     para = lambda word, n: f"<p>{(word + ' tells the story. ') * 12}</p>" * n
@@ -288,6 +460,42 @@ def test_language(spark):
     assert language.fit(df.limit(0)) == {}
 
 
+def brute_language(dictionaries, text):
+    """Every piece against every dictionary with a compressor of its own."""
+    import zstandard
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", True
+    data = language.letters(text)
+    sizes = []
+    for rank, (lang, d) in enumerate(dictionaries.items()):
+        total = 0
+        for piece in language.pieces(data):
+            made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=language.settings(len(d)))
+            total += len(made.compress(piece))
+        sizes.append((total, rank, lang))
+    sizes.sort()
+    return sizes[0][2], len(sizes) > 1 and sizes[1][0] - sizes[0][0] <= language.MARGIN * sizes[1][0]
+
+
+def test_language_equals_brute_force_and_edges(spark):
+    rnd = random.Random(8)
+    voc = {"aa": ["kala", "vesi", "puu", "talo"], "bb": ["strom", "wald", "haus", "schiff"], "cc": ["o"]}
+    rows = [(k, " ".join(rnd.choice(voc[lang]) + rnd.choice("xyz") for _ in range(60)), lang) for k in range(90) for lang in ("aa", "bb")]
+    rows += [(7, "o", "cc"), (None, "kalax puuz", "aa"), (8, None, "aa"), (9, "12 34", "dd"), (10, "vesix", None)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string").withColumn("share", F.lit("clash")).withColumn("n", F.lit(0))
+    d = language.fit(df)
+    assert list(d) == ["aa", "bb", "cc"] and min(map(len, d.values())) >= 8  # a language of one letter stays
+    # equal rows weigh nothing, a third of the rows included
+    hot = df.unionByName(spark.createDataFrame([(None, "kalax puuz", "aa")] * 300, "key long, text string, lang string").withColumn("share", F.lit("")).withColumn("n", F.lit(0)))
+    assert len(language.fit(hot)) == 3 and len(language.fit(df, size=200, total=10)) == 3
+    texts = [r[1] for r in rows[:12]] + ["kalax strom wald", "", None, "34", "kalax " * 5000]
+    got = spark.createDataFrame(list(enumerate(texts * 2)), "k int, text string").select("k", language.identify(d, F.col("text")).alias("l")).collect()
+    for r in got:
+        assert (r.l.lang, r.l.rejected) == brute_language(d, (texts * 2)[r.k])
+    assert df.limit(0).select(language.identify(d, F.col("text"))).count() == 0
+
+
 @pytest.mark.parametrize("size", [1_000, 20_000, 300_000, 5_000_000])
 def test_language_of_long_texts(size):
     """The margin holds at any length: texts of one language are kept, and every byte of them is judged."""
@@ -309,14 +517,15 @@ def test_language_of_long_texts(size):
 
 def test_preferences(spark):
     t = lambda pair, good, turn, role, text: (pair, good, turn, role, text)
-    rows = [t(1, True, 0, "user", "q"), t(1, True, 1, "assistant", "good"), t(1, False, 0, "user", "q"), t(1, False, 1, "assistant", "bad"), t(1, False, 2, "user", "why"), t(2, True, 0, "user", "alone"), t(3, True, 0, "user", "same"), t(3, False, 0, "user", "same"), t(4, True, 0, None, None), t(4, True, 0, None, None), t(4, False, 0, None, None), t(None, True, None, "user", "z")]
-    df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    rows = [t(1, True, 0, "user", "q"), t(1, True, 1, "assistant", "good"), t(1, False, 0, "user", "q"), t(1, False, 1, "assistant", "bad"), t(1, False, 2, "user", "why"), t(2, True, 0, "user", "alone"), t(3, True, 0, "user", "same"), t(3, False, 0, "user", "same"), t(4, True, 0, None, None), t(4, True, 0, None, None), t(4, False, 0, None, None), t(None, True, None, "user", "z"), t(5, True, 0, "user", ""), t(5, False, 0, "user", "long " * 200_000)]
+    df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("part", F.lit("clash")).withColumn("fork", F.lit(1))
     seg = chat.preference_segments(df)
-    got = {(r.pair_id, r.part, r.turn, r.sub, r.loss) for r in seg.collect()}
-    assert {(1, "prompt", 0, 0, 0), (1, "chosen", 1, 0, 1), (1, "rejected", 1, 0, 1), (1, "rejected", 2, 0, 0), (2, "chosen", 0, 0, 0), (3, "prompt", 0, 0, 0), (4, "chosen", 0, 0, 0), (4, "chosen", 0, 1, 0), (4, "rejected", 0, 0, 0), (None, "chosen", None, 0, 0)} == got
+    got = {(r.pair_id, r.part, r.turn, r.times, r.loss) for r in seg.collect()}
+    assert {(1, "prompt", 0, 1, 0), (1, "chosen", 1, 1, 1), (1, "rejected", 1, 1, 1), (1, "rejected", 2, 1, 0), (2, "chosen", 0, 1, 0), (3, "prompt", 0, 1, 0), (4, "chosen", 0, 2, 0), (4, "rejected", 0, 1, 0), (None, "chosen", None, 1, 0), (5, "chosen", 0, 1, 0), (5, "rejected", 0, 1, 0)} == got
     one = chat.assemble(seg).where("pair_id = 1").first()
     assert one.prompt.count(chat.OPEN) == 1 and "good" in one.chosen and "why" in one.rejected and one.chosen_mask[0].loss == 1
     assert sum(m.length for m in one.rejected_mask) == len(one.rejected)
+    assert chat.assemble(seg).where("pair_id = 4").first().chosen.count(chat.OPEN) == 2 and chat.assemble(seg).where("pair_id is null").count() == 0
     assert chat.preference_segments(df.limit(0)).count() == 0
 
 
