@@ -7,6 +7,7 @@ goes on at the next statement or unit.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from typing import Any
@@ -22,6 +23,8 @@ WORDS = set("SELECT DISTINCT UNIQUE ALL FROM WHERE GROUP BY HAVING ORDER SIBLING
 PSEUDO = set("ROWNUM ROWID LEVEL SYSDATE SYSTIMESTAMP USER NULL SQLCODE SQLERRM TRUE FALSE CONNECT_BY_ISLEAF CONNECT_BY_ISCYCLE".split())
 COLLECTION = set("COUNT FIRST LAST NEXT PRIOR EXISTS DELETE EXTEND TRIM LIMIT".split())
 SQLPLUS = set("SET PROMPT SHOW WHENEVER EXIT QUIT SPOOL DEFINE UNDEFINE COLUMN START REMARK ACCEPT VARIABLE PRINT CONNECT DISCONNECT TTITLE".split())
+#: Words of SQL that take parentheses and are no function.
+FORMS = set("EXISTS DATE TIMESTAMP ROW CUBE ROLLUP GROUPING SETS COLUMNS SEED SAMPLE XMLTABLE JSON_TABLE XMLATTRIBUTES XMLNAMESPACES PREDICTION PREDICTION_PROBABILITY PREDICTION_SET CLUSTER_ID CLUSTER_PROBABILITY PERCENTILE_CONT PERCENTILE_DISC DIMENSION MEASURES RULES PASSING PATH NESTED ORDINALITY LATERAL TABLE THE".split())
 DDL_VERBS = set("TRUNCATE DROP ALTER CREATE COMMENT GRANT REVOKE ANALYZE RENAME".split())
 DYNAMIC_STOP = set("SELECT DUAL TABLE SET WHERE VALUES ONLY LATERAL".split())
 _DYNAMIC = re.compile(r"\b(from|join|into|update|table)\s+((?:\w+\.)?[a-z_][\w$#]*)", re.I)
@@ -133,12 +136,17 @@ class Parser:
         self.counts[key] += 1
         return self.counts[key] - 1
 
+    def between(self, start: int, end: int) -> list[Token]:
+        """Comments that begin in a span of the source, found by bisection."""
+        lo, hi = (bisect.bisect_left(self.comments, at, key=lambda c: c.start) for at in (start, end))
+        return self.comments[lo:hi]
+
     def docs_left(self, k: int) -> list[str]:
         """Comments that stand right above token k: nothing but blank lines, fewer than two, between them and it."""
         before = self.t[k - 1].end if k else 0
         at = self.t[k].start if k < self.n else len(self.src)
         out = []
-        for c in reversed([c for c in self.comments if before <= c.start and c.end <= at]):
+        for c in reversed(self.between(before, at)):
             gap = self.src[c.end : at]
             if gap.count("\n") > 2 or (k and "\n" not in self.src[before : c.start]):
                 break
@@ -148,7 +156,7 @@ class Parser:
 
     def docs_right(self, k: int) -> list[str]:
         stop = self.t[k + 1].start if k + 1 < self.n else len(self.src)
-        return [c.text for c in self.comments if self.t[k].end <= c.start < stop] if k < self.n else []
+        return [c.text for c in self.between(self.t[k].end, stop)] if k < self.n else []
 
     # --- script
     def parse(self) -> dict[str, list[dict[str, Any]]]:
@@ -447,7 +455,7 @@ class Parser:
                     if self.take("IS"):
                         a = self.until(";")
                         query = self.text(a, self.i)
-                        self.sql(a, self.i, "CURSOR_DECL")
+                        self.sql(a, self.i, "CURSOR_DECL", own=frozenset(x["name"].lower() for x in params))
                     self.declare("CURSOR", name, begin, params=params, query=query)
                     self.need(";")
                 elif self.tok().kind == "directive":
@@ -516,7 +524,7 @@ class Parser:
         a, b = span or (0, 0)
         self.link += 1
         row = {"exception": None, "code": None, "code_text": None, "exceptions": [], "counts": True, "bulk": False, "limit": False, "target": None} | more
-        return self.add("step", path=list(path), kind=kind, text=text[:400], label=label, line=self.line(begin), end_line=self.end_line(self.i), from_off=self.t[a].start if a < b else None, to_off=self.t[b - 1].end if a < b else None, link_seq=self.link, **row)
+        return self.add("step", path=list(path), kind=kind, text=text, label=label, line=self.line(begin), end_line=self.end_line(self.i), from_off=self.t[a].start if a < b else None, to_off=self.t[b - 1].end if a < b else None, link_seq=self.link, **row)
 
     def block_body(self, path: list[int]) -> None:
         """BEGIN … [EXCEPTION …] END [name]; the place is BEGIN."""
@@ -725,7 +733,7 @@ class Parser:
         self.until(";")
         target = self.t[a]
         if target.kind != "bind":
-            self.add("target", name=".".join(x.text for x in self.t[a:eq] if x.kind in ("id", "quoted"))[:200].lower().replace('"', ""), first=target.text.lower().replace('"', ""), second=self.t[a + 2].text.lower() if a + 2 < eq and self.t[a + 1].up == "." else None, how="ASSIGN", line=target.line)
+            self.add("target", name=".".join(x.text for x in self.t[a:eq] if x.kind in ("id", "quoted")).lower().replace('"', ""), first=target.text.lower().replace('"', ""), second=self.t[a + 2].text.lower() if a + 2 < eq and self.t[a + 1].up == "." else None, how="ASSIGN", line=target.line)
         p = next((k for k in range(a, eq) if self.t[k].up == "("), eq)
         self.expression(p, eq)
         self.expression(eq + 1, self.i)
@@ -920,6 +928,8 @@ class Parser:
         if len(parts) == 1 and kinds[0] == "id" and first.up in WORDS and not (paren and first.up in ("COUNT", "FIRST", "LAST", "CAST", "EXISTS", "ROW", "DATE", "TIMESTAMP")):
             if not (statement and (paren or k >= b)):
                 return k
+        if sql and len(parts) == 1 and kinds[0] == "id" and first.up in FORMS:
+            return k
         argc, named, end = 0, [], k - 1
         if sql and not paren:
             if len(parts) > 1 and parts[-1].upper() in ("NEXTVAL", "CURRVAL"):
@@ -931,7 +941,7 @@ class Parser:
         last = parts[-1].upper()
         if len(parts) > 1 and last in ("NEXTVAL", "CURRVAL"):
             self.add("effect", kind="SEQUENCE", detail=".".join(parts[:-1]).upper(), line=first.line)
-        self.add("call", seq=self.seq("call"), parts=parts, link=link, line=first.line, offset=first.start, argc=argc, named=named, statement=statement, parens=paren, in_loop=self.loops > 0, in_sql=sql, text=norm(self.src[first.start : self.t[min(end, b - 1)].end])[:200])
+        self.add("call", seq=self.seq("call"), parts=parts, link=link, line=first.line, offset=first.start, argc=argc, named=named, statement=statement, parens=paren, in_loop=self.loops > 0, in_sql=sql, text=norm(self.src[first.start : self.t[min(end, b - 1)].end]))
         return k
 
     def arguments(self, k: int, e: int) -> tuple[int, list[str]]:
@@ -964,7 +974,7 @@ class Parser:
             said = self.text(s, k + 1).lower().replace('"', "")
             out.append(said)
             if first.kind != "bind":
-                self.add("target", name=said[:200], first=first.text.lower().replace('"', ""), second=self.t[s + 2].text.lower() if s + 2 <= k and self.t[s + 1].up == "." else None, how="INTO", line=first.line)
+                self.add("target", name=said, first=first.text.lower().replace('"', ""), second=self.t[s + 2].text.lower() if s + 2 <= k and self.t[s + 1].up == "." else None, how="INTO", line=first.line)
             k += 1
             if k < b and self.t[k].up == ",":
                 k += 1
@@ -973,15 +983,21 @@ class Parser:
         return out
 
     # --- SQL
+    def comments_in(self, a: int, b: int) -> list[Token]:
+        """Comments among the tokens a..b."""
+        return self.between(self.t[a].start, self.t[b - 1].end) if a < b <= self.n else []
+
     def statement_row(self, a: int, b: int, kind: str, **more: Any) -> dict[str, Any]:
-        base = {"binds": [], "into": [], "for_update": False, "bulk": False, "bulk_into": False, "dynamic": False, "dynamic_confidence": None, "dynamic_expression": None, "dynamic_kind": None, "ctes": [], "aliases": [], "context": None}
-        return self.add("sql", seq=self.seq("sql"), kind=kind, line=self.line(a), end_line=self.end_line(b), offset=self.t[a].start if a < self.n else 0, text=self.text(a, b)[:4000], in_loop=self.loops > 0, **(base | more))
+        base = {"binds": [], "into": [], "for_update": False, "bulk": False, "bulk_into": False, "dynamic": False, "dynamic_confidence": None, "dynamic_expression": None, "dynamic_kind": None, "concatenated": False, "asserted": False, "ctes": [], "aliases": [], "context": None}
+        hint = any(self.src.startswith("/*+", c.start) for c in self.comments_in(a, b))
+        return self.add("sql", seq=self.seq("sql"), kind=kind, line=self.line(a), end_line=self.end_line(b), offset=self.t[a].start if a < self.n else 0, text=self.text(a, b), hint=hint, in_loop=self.loops > 0, **(base | more))
 
-    def sql(self, a: int, b: int, kind: str, bulk: bool = False) -> None:
+    def sql(self, a: int, b: int, kind: str, bulk: bool = False, own: frozenset[str] = frozenset()) -> None:
+        """A statement; ``own`` are names that only it sees, such as a cursor's parameters."""
         row = self.statement_row(a, b, kind, bulk=bulk)
         if bulk:
             row["in_loop"] = False
-        Sql(self, a, b, row).run()
+        Sql(self, a, b, row, own).run()
 
     def dynamic(self, a: int, b: int, kind: str, begin: int, bulk: bool = False) -> None:
         """EXECUTE IMMEDIATE or OPEN FOR with text: LITERAL if it is all literals and parses, PARTIAL if some, else UNKNOWN."""
@@ -1005,7 +1021,7 @@ class Parser:
             binds = [s.strip() for s in self.src[self.t[u].end : self.t[b - 1].end].split(",")]
             self.expression(u + 1, b)
         self.expression(a, e)
-        row = self.statement_row(begin, b, kind, bulk=bulk, dynamic=True, dynamic_expression=self.text(a, e)[:1000], binds=binds, bulk_into=any(self.t[k].up == "BULK" for k in range(e, b)))
+        row = self.statement_row(begin, b, kind, bulk=bulk, dynamic=True, dynamic_expression=self.text(a, e), concatenated=any(x.up == "||" for x in self.t[a:e]), asserted=any(x.up == "DBMS_ASSERT" for x in self.t[a:e]), binds=binds, bulk_into=any(self.t[k].up == "BULK" for k in range(e, b)))
         row["into"] = self.targets(e, b)
         verb = re.match(r"\s*([A-Za-z]+)", text)
         row["dynamic_kind"] = verb[1].upper() if verb else None
@@ -1054,8 +1070,8 @@ class Parser:
 class Sql:
     """Tables, columns, binds and joins of one static statement, as candidates with the path of their query block."""
 
-    def __init__(self, p: Parser, a: int, b: int, row: dict[str, Any]):
-        self.p, self.a, self.b, self.row = p, a, b, row
+    def __init__(self, p: Parser, a: int, b: int, row: dict[str, Any], own: frozenset[str] = frozenset()):
+        self.p, self.a, self.b, self.row, self.own = p, a, b, row, own
         self.t = p.t
         self.refs: list[dict[str, Any]] = []
         self.skip: set[int] = set()  # tokens that are no columns
@@ -1115,6 +1131,7 @@ class Sql:
         made = 0
         self.ctes: set[str] = set()
         self.ghosts: list[tuple[str, str]] = []
+        self.several = [x.up for x in t[k : k + 2]] in (["INSERT", "ALL"], ["INSERT", "FIRST"])
         # names of common table expressions first: they may be used before their text ends
         for j in range(self.a, b - 2):
             if t[j].kind in ("id", "quoted") and t[j + 1].up == "AS" and t[j + 2].up == "(" and j + 3 < b and t[j + 3].up in ("SELECT", "WITH", "("):
@@ -1160,7 +1177,8 @@ class Sql:
                     clause[-1] = "insert"
                 elif u == "INTO" and c == "insert":
                     k = self.insert(k + 1, stack[-1])
-                    clause[-1] = ""
+                    # INSERT ALL and INSERT FIRST go on with further targets
+                    clause[-1] = "insert" if self.several else ""
                     continue
                 elif u == "INTO" and c == "select":
                     self.row["into"] += self.p.targets(k, b)
@@ -1355,7 +1373,9 @@ class Sql:
             if not star and not (j < self.b and t[j].up in ("(", "@", "=>")) and parts[-1].upper() not in ("NEXTVAL", "CURRVAL"):
                 role = self.writes.get(j - 1) or self.writes.get(k) or "read"
                 qualifier = parts[-2].lower() if len(parts) > 1 else None
-                if qualifier not in ghosts or qualifier is None:
+                if qualifier is None and parts[0].lower() in self.own:
+                    self.row["binds"] = sorted({*self.row["binds"], parts[0].lower()})
+                elif qualifier not in ghosts or qualifier is None:
                     self.p.add("use", stmt=self.row["seq"], seq=n, qualifier=qualifier, column=parts[-1].upper(), first=parts[0].lower(), role=role, scope=self.scope_at.get(k, "0"))
                     n += 1
             k = j

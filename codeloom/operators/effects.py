@@ -9,6 +9,7 @@ from codeloom.functions import builtins
 from codeloom.operators.resolve import OWNER, owned
 from codeloom.sources.files import Facts
 
+#: Kinds of steps by their part in metrics, and the verbs of DDL.
 COMPOUND = ("IF", "CASE", "LOOP", "WHILE_LOOP", "FOR_LOOP", "CURSOR_FOR_LOOP", "BLOCK")
 LOOPS = ("LOOP", "WHILE_LOOP", "FOR_LOOP", "CURSOR_FOR_LOOP", "FORALL")
 DECISIONS = ("IF", "ELSIF", "WHEN", "LOOP", "WHILE_LOOP", "FOR_LOOP", "CURSOR_FOR_LOOP", "FORALL", "HANDLER", "GOTO")
@@ -30,11 +31,16 @@ def claim(step: DataFrame, item: DataFrame, key: list[str]) -> DataFrame:
     return hit.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*OWNER, *key, "path")
 
 
-def lossless(facts: Facts, step: DataFrame) -> DataFrame:
-    """Owners whose counted statements differ from their steps: the parser counts statements as it meets them."""
-    counted = facts.table("count").withColumnRenamed("statements", "expected")
-    got = step.where("counts").groupBy(*OWNER).agg(F.count("*").alias("found"))
-    return counted.join(got, OWNER, "left").withColumn("found", F.coalesce("found", F.lit(0))).where("expected <> found")
+def counted(facts: Facts) -> DataFrame:
+    """Statements of each owner as the parser met them (expected), and as there are steps of them (found)."""
+    met = facts.table("count").withColumnRenamed("statements", "expected")
+    got = facts.table("step").where("counts").groupBy(*OWNER).agg(F.count("*").alias("found"))
+    return met.join(got, OWNER, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+
+
+def lossless(facts: Facts) -> DataFrame:
+    """Owners, of either variant, whose counted statements differ from their steps."""
+    return counted(facts).where("expected <> found")
 
 
 def raises(step: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def handlers(step: DataFrame) -> DataFrame:
     """Handlers with what their descendants do; a descendant's path begins with the handler's."""
     h = step.where("kind = 'HANDLER'").select("owner_id", *OWNER, F.col("path").alias("h"), "exceptions", "line", F.size("path").alias("n"))
     d = step.where("kind <> 'HANDLER'").select(*OWNER, "path", "kind", "target", F.size("path").alias("m"))
-    both = h.join(d, OWNER, "left").where("m is null or true")
+    both = h.join(d, OWNER, "left")
     under = (F.col("m") > F.col("n")) & (F.slice("path", 1, F.col("n")) == F.col("h"))
     some = lambda cond: F.coalesce(F.max(F.coalesce(under & cond, F.lit(False))), F.lit(False))
     out = both.groupBy("owner_id", *OWNER, "h", "exceptions", "line").agg(

@@ -24,10 +24,10 @@ RULES = [
     ("DB_LINK", "'INFO'", "effect", "effect_kind = 'DB_LINK'", "concat('another database: ', detail)"),
     ("ROW_BY_ROW_DML", "'MEDIUM'", "sql", "in_loop and not bulk and kind in ('INSERT', 'UPDATE', 'DELETE', 'MERGE')", "concat(kind, ' for one row after another')"),
     ("SQL_IN_LOOP", "'LOW'", "sql", "in_loop and kind = 'SELECT'", "'a query in a loop'"),
-    ("DYNAMIC_SQL_CONCATENATION", "if(lower(dynamic_expression) like '%dbms_assert%', 'LOW', 'HIGH')", "sql", "dynamic and dynamic_confidence <> 'LITERAL' and contains(dynamic_expression, '||')", "'statement text is put together from values'"),
-    ("DYNAMIC_SQL_OPAQUE", "'MEDIUM'", "sql", "dynamic and dynamic_confidence = 'UNKNOWN' and not contains(dynamic_expression, '||')", "'statement text is not known here'"),
+    ("DYNAMIC_SQL_CONCATENATION", "if(asserted, 'LOW', 'HIGH')", "sql", "dynamic and dynamic_confidence <> 'LITERAL' and concatenated", "'statement text is put together from values'"),
+    ("DYNAMIC_SQL_OPAQUE", "'MEDIUM'", "sql", "dynamic and dynamic_confidence = 'UNKNOWN' and not concatenated", "'statement text is not known here'"),
     ("UNBOUNDED_BULK_COLLECT", "'MEDIUM'", "sql", "kind = 'SELECT' and bulk_into and size(into) > 0", "'a query is read into memory as a whole'"),
-    ("OPTIMIZER_HINT", "'INFO'", "sql", "contains(text, '/*+')", "'a hint for the optimizer'"),
+    ("OPTIMIZER_HINT", "'INFO'", "sql", "hint", "'a hint for the optimizer'"),
     ("UNBOUNDED_BULK_COLLECT", "'MEDIUM'", "step", "kind = 'FETCH' and bulk and not limit", "'a cursor is read into memory without a limit'"),
     ("GOTO_USED", "'LOW'", "step", "kind = 'GOTO'", "concat('jump to ', text)"),
     ("UNRESOLVED_CALL", "'INFO'", "call", "resolution in ('UNRESOLVED', 'EXTERNAL', 'UNRESOLVED_IN_PACKAGE')", "concat('not found here: ', array_join(parts, '.'))"),
@@ -41,7 +41,7 @@ QUIET_IO = ("CONSOLE", "OTHER_BUILTIN", "LOB", "XML", "CRYPTO_RANDOM", "ADMIN")
 
 
 def risks(tables: dict[str, DataFrame], places: DataFrame) -> DataFrame:
-    """All risks, in order: (code, severity, message, owner_id, file, line).
+    """All risks: (code, severity, message, owner_id, file, line).
 
     ``tables`` has raise, handler, implicit, effect, sql, step, call, metric, each with owner_id; ``places`` has
     owner_id, file and first line. A risk without a line stands at the first line of its owner.
@@ -59,7 +59,8 @@ def risks(tables: dict[str, DataFrame], places: DataFrame) -> DataFrame:
     out.append(open_.select(F.lit("SELECT_INTO_NO_HANDLER").alias("code"), F.lit("LOW").alias("severity"), F.lit("a query for one row, and no handler for none").alias("message"), "owner_id", "line"))
     e = tables["effect"]
     alone = e.where("effect_kind = 'AUTONOMOUS'").select("owner_id").distinct()
-    ends = e.where("effect_kind in ('COMMIT', 'ROLLBACK')").join(alone, "owner_id", "left_anti").groupBy("owner_id").agg(F.min("line").alias("line"))
+    commit = F.when(F.col("effect_kind") == "COMMIT", F.col("line"))
+    ends = e.where("effect_kind in ('COMMIT', 'ROLLBACK')").join(alone, "owner_id", "left_anti").groupBy("owner_id").agg(F.coalesce(F.min(commit), F.min("line")).alias("line"))
     out.append(ends.select(F.lit("COMMIT_IN_ROUTINE").alias("code"), F.lit("MEDIUM").alias("severity"), F.lit("ends its caller's transaction").alias("message"), "owner_id", "line"))
     state = e.where("effect_kind = 'STATE_WRITE'").groupBy("owner_id").agg(F.array_join(F.sort_array(F.collect_set("detail")), ", ").alias("what"))
     out.append(state.select(F.lit("PACKAGE_STATE_WRITE").alias("code"), F.lit("INFO").alias("severity"), F.concat(F.lit("changes the package's state: "), "what").alias("message"), "owner_id", F.lit(0).alias("line")))
@@ -68,11 +69,16 @@ def risks(tables: dict[str, DataFrame], places: DataFrame) -> DataFrame:
     out.append(io.select(F.lit("EXTERNAL_SIDE_EFFECT").alias("code"), F.when(F.col("category").isin(*RISKY_IO), "MEDIUM").otherwise("INFO").alias("severity"), F.concat("category", F.lit(": "), "what").alias("message"), "owner_id", F.lit(0).alias("line")))
     every = reduce(DataFrame.unionByName, out)
     placed = every.join(places.select("owner_id", "file", F.col("line").alias("start")), "owner_id", "left")
-    return placed.select("code", "severity", "message", "owner_id", "file", F.when(F.coalesce("line", F.lit(0)) == 0, F.col("start")).otherwise(F.col("line")).alias("line")).orderBy(severity_rank(F.col("severity")), "code", F.asc_nulls_first("owner_id"), "line", "message")
+    return placed.select("code", "severity", "message", "owner_id", "file", F.when(F.coalesce("line", F.lit(0)) == 0, F.col("start")).otherwise(F.col("line")).alias("line"))
+
+
+def ordered(risk: DataFrame) -> DataFrame:
+    """Risks as they are shown: the gravest first, then by code, owner and line."""
+    return risk.orderBy(severity_rank(F.col("severity")), "code", F.asc_nulls_first("owner_id"), "line", "message")
 
 
 def risk_counts(risk: DataFrame) -> DataFrame:
-    return risk.groupBy("severity", "code").agg(F.count("*").alias("n")).orderBy(severity_rank(F.col("severity")), "code")
+    return risk.groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
 def at_least(risk: DataFrame, severity: str) -> DataFrame:
@@ -85,7 +91,7 @@ def risk_pivot(risk: DataFrame, by: str | Column) -> DataFrame:
 
 #: Fixed values: (topic, pattern on masked source, note).
 NOTES = [
-    ("null functions", r"(?i)\b(nvl2?|coalesce|nullif|decode)\s*\(", "Null handling: decode treats two nulls as equal."),
+    ("null functions", r"(?i)\b(nvl2?|coalesce|nullif|decode)\s*\(|\bis\s+(not\s+)?null\b", "Null handling: decode treats two nulls as equal."),
     ("row numbers", r"(?i)\brownum\b", "ROWNUM is given before sorting."),
     ("row addresses", r"(?i)\browid\b", "ROWID is a physical address."),
     ("server clock", r"(?i)\b(sysdate|systimestamp|current_date|current_timestamp)\b", "The clock of the server or the session is read."),
@@ -93,13 +99,13 @@ NOTES = [
     ("session context", r"(?i)\b(sys_context|userenv)\s*\(|\buser\b", "The session's identity is read."),
     ("anchored types", r"(?i)%\s*(row)?type\b", "Types follow columns that are defined elsewhere."),
     ("index-by tables", r"(?i)\bindex\s+by\b", "Sparse arrays: keys need not be dense."),
-    ("collections", r"(?i)\.(count|first|last|next|prior|extend|trim|exists)\b", "Collections start at 1."),
+    ("collections", r"(?i)\.(count|first|last|next|prior|extend|trim|exists)\b|\bvarray\b|\bnested\s+table\b|\btable\s+of\b", "Collections start at 1."),
     ("bulk work", r"(?i)\b(bulk\s+collect|forall)\b", "Rows move in bulk between engines."),
     ("cursor attributes", r"(?i)%\s*(found|notfound|rowcount|isopen|bulk_rowcount)\b", "Attributes speak of the last statement."),
     ("error numbers", r"(?i)\b(sqlcode|sqlerrm)\b", "Error number and text of the session."),
     ("trigger rows", r"(?i):\s*(new|old)\b", "Values of the row before and after a change."),
     ("row locks", r"(?i)\bfor\s+update\b", "Rows are locked until the transaction ends."),
-    ("hierarchies", r"(?i)\bconnect\s+by\b", "Hierarchical query."),
+    ("hierarchies", r"(?i)\bconnect\s+by\b|\bstart\s+with\b", "Hierarchical query."),
     ("merging", r"(?i)\bmerge\s+into\b", "Rows are updated or inserted in one statement."),
     ("pipelines", r"(?i)\bpipe\s+row\b", "Rows are returned one after another while it runs."),
     ("application errors", r"(?i)\braise_application_error\b", "Numbers -20000 to -20999 are the application's."),

@@ -28,14 +28,23 @@ def interval_first(points: DataFrame, spans: DataFrame, keys: list[str], at: str
     return hit.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def coverage(file: DataFrame, unit: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans (keys, line, end_line) put together where they touch or overlap."""
+    w = Window.partitionBy(*keys).orderBy("line", "end_line")
+    before = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    run = spans.withColumn("fresh", F.coalesce((F.col("line") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy(*keys, "run").agg(F.min("line").alias("line"), F.max("end_line").alias("end_line")).drop("run")
+
+
+def coverage(file: DataFrame, source: DataFrame, unit: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file_coverage, gaps). A code line is one that is not blank when masked; it belongs to a unit, else to a skipped
     item, else it is a terminator alone on its line, else it is unaccounted for."""
     p = file.where("variant = 'primary'")
-    line = p.select("file", "n_lines", F.posexplode(F.split("masked", r"\r?\n", -1)).alias("k", "text")).where("trim(text) <> ''").select("file", (F.col("k") + 1).alias("no"), F.trim("text").alias("text"))
+    line = source.where("variant = 'primary'").select("file", F.posexplode(F.split("masked", r"\r?\n", -1)).alias("k", "text")).where("trim(text) <> ''").select("file", (F.col("k") + 1).alias("no"), F.trim("text").alias("text"))
     spans = unit.where("variant = 'primary'").select("file", "line", "end_line", F.lit(0).alias("bucket")).unionByName(skipped.where("variant = 'primary'").select("file", "line", "end_line", F.lit(1).alias("bucket")))
-    # runs of lines that a bucket covers, so that a line meets each run once and not each of many units
-    covered = line.join(spans, "file").where("no between line and end_line").groupBy("file", "no").agg(F.min("bucket").alias("bucket"))
+    # the lines of merged spans, so that a line is met once by each bucket, and by no span that it is not in
+    lines = merged(spans.where("end_line >= line"), ["file", "bucket"]).select("file", F.explode(F.sequence("line", "end_line")).alias("no"), "bucket")
+    covered = lines.groupBy("file", "no").agg(F.min("bucket").alias("bucket"))
     marked = line.join(covered, ["file", "no"], "left").withColumn("end", F.col("text").isin("/", ";"))
     total = p.select("file", F.col("n_lines").cast("long").alias("total_lines"))
     c = marked.groupBy("file").agg(
@@ -102,7 +111,7 @@ def overall(score: DataFrame, file_score: DataFrame) -> DataFrame:
 
 
 def missing(tables: dict[str, DataFrame]) -> DataFrame:
-    """What would have to be added: (kind, severity, name, used_by, file, line), by severity, kind and name.
+    """What would have to be added: (kind, severity, name, used_by, file, line).
 
     ``tables`` has call, sql, ref, table_def, skipped, unit, file, gaps, issue, routine.
     """
@@ -132,8 +141,13 @@ def missing(tables: dict[str, DataFrame]) -> DataFrame:
         row(tables["gaps"].withColumnRenamed("from", "line"), "UNACCOUNTED_LINES", "HIGH", F.col("file"), none),
         row(tables["routine"].where("variant = 'alternate'"), "ALTERNATE_VARIANT_ONLY", "LOW", F.col("id"), none),
     ]
-    return reduce(DataFrame.unionByName, parts).orderBy(severity_rank(F.col("severity")), "kind", "name")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def missing_ordered(miss: DataFrame) -> DataFrame:
+    """As it is shown: by severity, kind and name."""
+    return miss.orderBy(severity_rank(F.col("severity")), "kind", "name")
 
 
 def missing_counts(miss: DataFrame) -> DataFrame:
-    return miss.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind")
+    return miss.groupBy("kind").agg(F.count("*").alias("n"))

@@ -106,7 +106,7 @@ class Analysis:
 
     @cached_property
     def outline_mismatch(self) -> DataFrame:
-        return effects.lossless(self.facts, self.step)
+        return effects.lossless(self.facts)
 
     @cached_property
     def raises(self) -> DataFrame:
@@ -219,7 +219,7 @@ class Analysis:
 
     @cached_property
     def _coverage(self) -> tuple[DataFrame, DataFrame]:
-        return score.coverage(self.file, self.owner_unit, self.fact("skipped"))
+        return score.coverage(self.file, self.fact("source"), self.owner_unit, self.fact("skipped"))
 
     @cached_property
     def file_coverage(self) -> DataFrame:
@@ -286,7 +286,7 @@ class Analysis:
     def source(self) -> DataFrame:
         """Each routine's lines as they stand in the file, and masked."""
         cut = lambda c: F.array_join(F.slice(F.split(c, r"\r?\n", -1), F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(0))), "\n")
-        return self.routine.join(self.file.select("file", "variant", "text", F.col("masked").alias("m")), ["file", "variant"]).select("id", "file", "variant", "line", "end_line", "attributes", "params", cut("text").alias("source"), cut("m").alias("masked"))
+        return self.routine.join(self.fact("source").select("file", "variant", "text", F.col("masked").alias("m")), ["file", "variant"]).select("id", "file", "variant", "line", "end_line", "attributes", "params", cut("text").alias("source"), cut("m").alias("masked"))
 
     @cached_property
     def note(self) -> DataFrame:
@@ -356,14 +356,24 @@ class Analysis:
         return self.call.where("builtin_package is not null").select("owner_id", "builtin_package", builtins.category(F.col("builtin_package")).alias("category")).distinct()
 
 
-_KNOWN: dict[tuple[str, str], Analysis] = {}
+_KNOWN: dict[tuple[str, str, str], Analysis] = {}
 
 
-def of_tables(spark, sf_dir: str) -> Analysis:
-    """The analysis of the synthetic corpus of a table folder, parsed once in a session."""
-    from codeloom.sources.synth import corpus
-
-    key = (spark.sparkContext.applicationId, sf_dir)
+def known(spark, sf_dir: str, make) -> Analysis:
+    """The analysis of a corpus made of a table folder, parsed once in a session."""
+    key = (spark.sparkContext.applicationId, make.__module__, sf_dir)
     if key not in _KNOWN:
-        _KNOWN[key] = Analysis(corpus(spark, sf_dir))
+        _KNOWN[key] = Analysis(make(spark, sf_dir))
     return _KNOWN[key]
+
+
+def of_tables(spark, sf_dir: str) -> Analysis:
+    from codeloom.sources import synth
+
+    return known(spark, sf_dir, synth.corpus)
+
+
+def of_samples(spark, sf_dir: str) -> Analysis:
+    from codeloom.sources import samples
+
+    return known(spark, sf_dir, samples.corpus)

@@ -33,8 +33,13 @@ def listing(folder: str, spark) -> DataFrame:
 
 
 def links(folder: str, spark) -> DataFrame:
-    """Links of all Markdown files that lead nowhere: (path, target). Fenced code and code spans do not count."""
-    read = listing(folder, spark)
+    """Links of a folder's Markdown files that lead nowhere."""
+    return broken_links(listing(folder, spark))
+
+
+def broken_links(read: DataFrame) -> DataFrame:
+    """Links of Markdown files (path, content) that lead to none of them: (path, target). Fenced code, code spans,
+    anchors and addresses do not count; a path may climb to the folder above."""
     rel = F.col("path")
     known = read.select(F.col("path").alias("target")).distinct()
     line = read.withColumn("rel", rel).where("rel like '%.md'").select("rel", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("k", "text"))

@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-import json
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from codeloom.functions import text as T
 
+#: Extensions of program files, and folders that hold none.
 EXTENSIONS = ("sql", "pks", "pkb", "pkg", "fnc", "prc", "trg", "vw", "typ", "tps", "tpb", "plsql")
 LEFT_OUT = (".agentdocs", ".git", "node_modules", "target", "corpus-out")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, left_out: Sequence[str] = LEFT_OUT) -> DataFrame:
     """A folder, recursively: files of known extensions, none below a left-out folder. A file: itself, whatever its name."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.col("path")
     single = F.regexp_replace(path, r"^file:/*", "/") == F.regexp_replace(F.lit(root), r"^file:/*", "/")
-    kept = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*EXTENSIONS) & ~F.arrays_overlap(F.split(path, "/"), F.lit(list(LEFT_OUT)))
+    kept = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*EXTENSIONS) & ~F.arrays_overlap(F.split(path, "/"), F.lit(list(left_out)))
     return found.where(single | kept)
 
 
-def read(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def read(spark: SparkSession, roots: Sequence[str], left_out: Sequence[str] = LEFT_OUT) -> DataFrame:
     """Rows (file, content, size, modified, text) of all inputs, each file once. Without any file: an error."""
     if not roots:
         raise ValueError("no input")
-    every = scan(spark, roots[0])
+    every = scan(spark, roots[0], left_out)
     for root in roots[1:]:
-        every = every.unionByName(scan(spark, root))
+        every = every.unionByName(scan(spark, root, left_out))
     every = every.dropDuplicates(["path"])
     if every.isEmpty():
         raise FileNotFoundError(f"no program files in {', '.join(roots)}; looked for {', '.join(EXTENSIONS)}")
@@ -48,14 +51,15 @@ def read(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 PARAMS = "array<struct<name:string,mode:string,type:string,default_text:string,line:int>>"
 #: Fact tables and their columns; (file, variant) come first in each.
 TABLES = {
-    "file": "n_lines int, n_errors int, masked string, text string, conditions array<struct<line:int,text:string,decided:boolean,value:boolean>>",
+    "file": "n_lines int, n_errors int, conditions array<struct<line:int,text:string,decided:boolean,value:boolean>>",
+    "source": "text string, masked string",
     "error": "line int, col int, message string",
     "condition_issue": "line int, message string",
     "unit": "unit int, kind string, schema string, name string, line int, end_line int, authid string, trigger_header string, docs array<string>, has_init boolean, init_line int",
     "routine": f"unit int, rid int, parent int, depth int, kind string, name string, forward boolean, has_body boolean, call_spec boolean, params {PARAMS}, return_type string, attributes array<string>, line int, end_line int, body_line int, signature string, docs array<string>, header_docs array<string>",
     "decl": f"unit int, routine int, kind string, name string, type string, is_const boolean, not_null boolean, default_text string, type_kind string, definition string, fields array<struct<name:string,type:string>>, params {PARAMS}, query string, error_code int, line int, end_line int",
     "exception_init": "unit int, routine int, name string, code int",
-    "sql": "unit int, routine int, seq int, kind string, context string, line int, end_line int, offset int, text string, binds array<string>, into array<string>, for_update boolean, bulk boolean, bulk_into boolean, in_loop boolean, dynamic boolean, dynamic_confidence string, dynamic_expression string, dynamic_kind string, ctes array<string>, aliases array<string>",
+    "sql": "unit int, routine int, seq int, kind string, context string, line int, end_line int, offset int, text string, binds array<string>, into array<string>, for_update boolean, bulk boolean, bulk_into boolean, in_loop boolean, dynamic boolean, dynamic_confidence string, dynamic_expression string, dynamic_kind string, concatenated boolean, asserted boolean, hint boolean, ctes array<string>, aliases array<string>",
     "ref": "unit int, routine int, stmt int, ref int, schema string, table string, link string, alias string, access array<string>, writes array<string>, scope string, confidence string",
     "use": "unit int, routine int, stmt int, seq int, qualifier string, column string, first string, role string, scope string",
     "join": "unit int, routine int, stmt int, lq string, lc string, rq string, rc string, scope string, dynamic boolean",
@@ -72,8 +76,8 @@ TABLES = {
 }
 
 
-def parse_rows(file: str, text: str | None, flags: dict[str, Any]) -> Iterator[tuple[str, str, str, str]]:
-    """(file, variant, table, JSON) of one file. A failure inside the parser is an error row, never a lost file."""
+def parse_rows(file: str, text: str | None, flags: dict[str, Any]) -> Iterator[tuple[str, str, str, dict[str, Any]]]:
+    """(file, variant, table, row) of one file. A failure inside the parser is an error row, never a lost file."""
     from codeloom.functions.parser import parse
     from codeloom.functions.scan import mask, variants
 
@@ -82,60 +86,87 @@ def parse_rows(file: str, text: str | None, flags: dict[str, Any]) -> Iterator[t
             rows = parse(v.text)
         except Exception as e:  # noqa: BLE001  one file must not end the job
             rows = {"error": [{"line": 1, "col": 1, "message": f"analysis failed: {e!r}"[:300]}]}
-        whole = {"n_lines": v.text.count("\n") + (not v.text.endswith("\n") and bool(v.text)), "n_errors": len(rows.get("error", [])), "masked": mask(v.text), "text": v.text, "conditions": [vars(c) for c in v.conditions]}
-        yield file, v.name, "file", json.dumps(whole)
+        yield file, v.name, "file", {"n_lines": v.text.count("\n") + (not v.text.endswith("\n") and bool(v.text)), "n_errors": len(rows.get("error", [])), "conditions": [vars(c) for c in v.conditions]}
+        yield file, v.name, "source", {"text": v.text, "masked": mask(v.text)}
         for line, message in v.issues:
-            yield file, v.name, "condition_issue", json.dumps({"line": line, "message": message})
+            yield file, v.name, "condition_issue", {"line": line, "message": message}
         for name, many in rows.items():
             for row in many:
-                yield file, v.name, name, json.dumps(row)
+                yield file, v.name, name, row
 
 
 class Facts:
-    """Fact tables of a corpus, parsed once and kept as Parquet partitioned by table in the shared folder."""
+    """Fact tables of a corpus, parsed once and kept in the shared folder.
+
+    All are written in one pass as Parquet partitioned by table, each in a typed struct column of its own, so a query
+    reads only the files of its tables and of these only the columns that it uses. Texts are a table of their own.
+    """
 
     def __init__(self, files: DataFrame, flags: dict[str, Any] | None = None, where: str | None = None):
         spark = files.sparkSession
         flags = dict(flags or {})
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frame = lambda rows: pd.DataFrame(rows, columns=["file", "variant", "tbl", "json"])
+        types = {name: to_arrow_type(StructType.fromDDL(ddl)) for name, ddl in TABLES.items()}
+        schema = pa.schema([("file", pa.string()), ("variant", pa.string()), *((f"f_{k}", t) for k, t in types.items()), ("tbl", pa.string())])
+
+        def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, list[tuple]] = {}
+            for r in rows:
+                held.setdefault(r[2], []).append(r)
+            for name, many in held.items():
+                n = len(many)
+                facts = [pa.array([r[3] for r in many], type=t) if k == name else pa.nulls(n, t) for k, t in types.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in many]), pa.array([r[1] for r in many]), *facts, pa.array([name] * n)], schema=schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple[str, str, str, dict[str, Any]]] = []
             for b in batches:
-                out: list[tuple[str, str, str, str]] = []
-                for file, text in zip(b["file"].tolist(), b["text"].tolist(), strict=True):
+                for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     out += parse_rows(file, text, flags)
-                    if len(out) > 2_000:
-                        yield frame(out)
+                    if len(out) > 20_000:
+                        yield from batches_of(out)
                         out = []
-                yield frame(out)
+            yield from batches_of(out)
 
         self.spark, self.files = spark, files
         self.path = where or f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+        whole = "file string, variant string, " + ", ".join(f"f_{name} struct<{_struct(ddl)}>" for name, ddl in TABLES.items()) + ", tbl string"
         # parsing costs far more than moving a file, so files are spread evenly, whatever partitions they come in
         tasks = max(2 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions())
-        rows = files.select("file", "text").repartition(tasks, F.xxhash64("file")).mapInPandas(run, "file string, variant string, tbl string, json string")
+        rows = files.select("file", "text").repartition(tasks, F.xxhash64("file")).mapInArrow(run, whole)
         rows.write.partitionBy("tbl").parquet(self.path)
-        self._raw = spark.read.schema("file string, variant string, json string, tbl string").parquet(self.path)
+        _gone_at_exit(spark, self.path)
+        self._raw = spark.read.schema(whole).parquet(self.path)
 
     def table(self, name: str) -> DataFrame:
-        rows = self._raw.where(F.col("tbl") == name)
-        return rows.select("file", "variant", F.from_json("json", TABLES[name]).alias("r")).select("file", "variant", "r.*")
+        return self._raw.where(F.col("tbl") == name).select("file", "variant", f"f_{name}.*")
+
+
+def _struct(ddl: str) -> str:
+    """Fields of a table as fields of a struct."""
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which every executor shares; a temporary folder where it is unset (one machine)."""
+    """``spark.checkpoint.dir``, which every executor shares. Where it is unset, a temporary folder on a single machine,
+    and an error on a cluster, whose executors would each write to a disk of their own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stash(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write as a Parquet table in the shared folder and read back: cuts the plan, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
