@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scan import parse_flag
 from codeloom.functions.text import SEVERITIES, to_ascii
-from codeloom.operators import graph, rules
+from codeloom.operators import graph, rules, score
 from codeloom.plans import docs, verify
 from codeloom.plans.engine import Analysis
 from codeloom.sources.files import read
@@ -54,10 +54,20 @@ def show(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def model(a: Analysis) -> dict:
+    """Everything that the analysis knows, by table, with whole cards of the routines and blocks."""
+    tables = {
+        "files": a.file.orderBy("file", "variant"), "units": a.unit.orderBy("file", "variant", "unit"), "declarations": a.declaration.orderBy("file", "variant", "unit", "line", "name"), "skipped": a.fact("skipped").orderBy("file", "line"), "issues": a.issue.orderBy("file", "line", "code"),
+        "entities": a.er["entity"].orderBy("table_key"), "columns": a.er["col"].drop("at").orderBy("table_key", "name"), "relations": a.er["relation"].orderBy("origin", "src", "dst", "cols"), "risks": rules.ordered(a.risk), "missing": score.missing_ordered(a.missing), "scores": a.score.orderBy("owner_id"), "confidence": a.confidence,
+    }
+    return {"routines": [json.loads(r["json"]) for r in docs.cards(a).orderBy("id").select("json").collect()]} | {name: show(t) for name, t in tables.items()}
+
+
 def run(argv: list[str], spark: SparkSession | None = None) -> int:
     o = parser().parse_args(route(argv))
     spark = spark or SparkSession.builder.appName("codeloom").getOrCreate()
-    a = Analysis(read(spark, o.inputs), dict(parse_flag(f) for f in o.flags))
+    flags = dict(parse_flag(f) for f in o.flags)
+    a = Analysis(read(spark, o.inputs), flags)
     if o.command in ("go", "build", "explore"):
         docs.write(a, o.out)
         verdict = verify.write(a, o.out)
@@ -65,7 +75,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         if o.watch:
             from codeloom.streaming.watch import watch
 
-            again = lambda _: (docs.write(b := Analysis(read(spark, o.inputs)), o.out), say(verify.write(b, o.out)))
+            again = lambda _: (docs.write(b := Analysis(read(spark, o.inputs), flags), o.out), say(verify.write(b, o.out)))
             watch(spark, o.inputs, again).awaitTermination()
         return int(verdict == "NOT_VERIFIED")
     if o.command == "check":
@@ -76,7 +86,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     if o.command == "outline":
         rows = show(a.step.orderBy("owner_id", "path").select("owner_id", "number", "depth", "kind", "text", "line"))
         if o.json:
-            say(json.dumps({"routines": show(a.routine.select("id", "signature", "visibility", "file", "line").orderBy("id")), "steps": rows}, default=str))
+            say(json.dumps(model(a), default=str))
         else:
             last = None
             for r in rows:
@@ -85,7 +95,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
                 say(f"{'  ' * r['depth']}{r['number']} {r['kind']} {r['text'][:100]}")
         return int(not a.issue.where("severity = 'ERROR'").isEmpty())
     if o.command == "risks":
-        rows = show(rules.at_least(a.risk, o.min_severity))
+        rows = show(rules.ordered(rules.at_least(a.risk, o.min_severity)))
         say(json.dumps(rows)) if o.json else [say(f"{r['severity']} {r['code']} {r['owner_id']} {r['file']}:{r['line']} {r['message']}") for r in rows]
         return 2 if any(r["severity"] == "HIGH" for r in rows) else 0
     if o.mermaid:

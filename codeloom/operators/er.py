@@ -79,15 +79,15 @@ def model(defs: dict[str, DataFrame], ref: DataFrame, join: DataFrame) -> dict[s
     inferred = out.groupBy("src", "dst", "cols", "to_cols", "cardinality").agg(F.countDistinct("seen").alias("weight"), F.slice(F.sort_array(F.collect_set("seen")), 1, 6).alias("evidence"))
     linked = declared.select("src", "dst").union(declared.select("dst", "src")).distinct()
     inferred = inferred.join(linked, ["src", "dst"], "left_anti").select("src", "dst", "cols", "to_cols", F.lit("INFERRED").alias("origin"), "cardinality", F.lit(False).alias("required"), "weight", "evidence")
-    relation = declared.unionByName(inferred).orderBy("origin", "src", "dst", "cols")
-    return {"entity": entity.orderBy("table_key"), "col": col, "relation": relation}
+    relation = declared.unionByName(inferred)
+    return {"entity": entity, "col": col, "relation": relation}
 
 
 def clusters(entity: DataFrame, relation: DataFrame) -> DataFrame:
-    """(cluster, members, size), largest first: connected components of entities and relations."""
+    """(cluster, members, size): connected components of entities and relations."""
     c = graph.components(relation.select("src", "dst"), entity.select(F.col("table_key").alias("node")))
     g = c.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count("*").alias("size"))
-    return g.select(F.col("component").alias("cluster"), "members", "size").orderBy(F.desc("size"), "cluster")
+    return g.select(F.col("component").alias("cluster"), "members", "size")
 
 
 def explanations(m: dict[str, DataFrame]) -> list[str]:

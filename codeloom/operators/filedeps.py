@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.graph import dfs_order
+from codeloom.operators.graph import batches, dfs_order, ranks, recursion_groups
 
 EVIDENCE = 6
 #: Files whose order is found on the driver; beyond it the order is by batches (see ``reading_order``).
@@ -17,7 +17,7 @@ def evidence(c: F.Column) -> F.Column:
 
 
 def file_edges(edge: DataFrame, node: DataFrame, unit: DataFrame, ref: DataFrame, table_def: DataFrame) -> DataFrame:
-    """(src, dst, type, count, evidence) of files that need others, by type and names.
+    """(src, dst, type, count, evidence) of files that need others.
 
     CALLS: a routine of src calls one of dst. SPEC_BODY: a body needs its specification. NEEDS_DDL: src uses a table
     that dst creates. Files that merely share a table are in ``shared_tables``: pairs, of which there are far more.
@@ -34,7 +34,7 @@ def file_edges(edge: DataFrame, node: DataFrame, unit: DataFrame, ref: DataFrame
     exact = use.join(defs.select("d_key", "dst"), use["key"] == F.col("d_key")).select("file", "key", "dst")
     loose = use.join(exact.select("key").distinct(), "key", "left_anti").join(defs.select("bare", "dst"), "bare").select("file", "key", "dst")
     needs = exact.unionByName(loose).where("file <> dst").groupBy(F.col("file").alias("src"), "dst").agg(F.lit("NEEDS_DDL").alias("type"), F.countDistinct("key").alias("count"), evidence(F.col("key")).alias("evidence"))
-    return calls.unionByName(spec_body).unionByName(needs).orderBy("type", "src", "dst")
+    return calls.unionByName(spec_body).unionByName(needs)
 
 
 def table_use(ref: DataFrame) -> DataFrame:
@@ -68,13 +68,22 @@ def file_nodes(file: DataFrame, unit: DataFrame, routine: DataFrame, edges: Data
     return joined.select("file", F.coalesce("units", none).alias("units"), F.coalesce("routines", F.lit(0)).cast("long").alias("routines"), F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("used_by", none).alias("used_by"))
 
 
-def reading_order(nodes: DataFrame, edges: DataFrame) -> tuple[list[str], list[list[str]]]:
-    """Files so that what a file needs comes before it, names deciding ties; and the cycles met on the way.
+def reading_order(nodes: DataFrame, edges: DataFrame, driver_files: int = DRIVER_FILES) -> tuple[DataFrame, DataFrame]:
+    """((position, file), (members)): files so that what a file needs comes before it, and the cycles among them.
 
-    A depth-first order is sequential by nature, so the *file* graph, checked to be small, goes to the driver.
+    A depth-first order is sequential by nature, so a *file* graph of up to ``driver_files`` files and ten times as many
+    edges is ordered on the driver, names deciding ties, and its cycles are those met on the way. A larger one is ordered
+    by batches: first the files that need nothing outside their own cycle, by name, then those that need these only.
     """
-    files = [r["file"] for r in nodes.select("file").orderBy("file").limit(DRIVER_FILES + 1).collect()]
-    if len(files) > DRIVER_FILES:
-        raise ValueError(f"more than {DRIVER_FILES} files: order them by batches of their dependency graph")
-    pairs = [(r["src"], r["dst"]) for r in edges.where("type <> 'SHARED_TABLE'").select("src", "dst").distinct().collect()]
-    return dfs_order(files, pairs)
+    spark = nodes.sparkSession
+    pairs = edges.where("type <> 'SHARED_TABLE'").select("src", "dst").distinct()
+    files = [r["file"] for r in nodes.select("file").orderBy("file").limit(driver_files + 1).collect()]
+    if len(files) <= driver_files:
+        found = [(r["src"], r["dst"]) for r in pairs.limit(10 * driver_files + 1).collect()]
+        if len(found) <= 10 * driver_files:
+            order, cycles = dfs_order(files, found)
+            return spark.createDataFrame([(k, f) for k, f in enumerate(order, 1)], "position long, file string"), spark.createDataFrame([(c,) for c in cycles], "members array<string>")
+    known = nodes.select(F.col("file").alias("node"))
+    inside = pairs.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi")
+    order = ranks(batches(inside, known))
+    return order.select(F.col("rank").cast("long").alias("position"), F.col("node").alias("file")), recursion_groups(inside, known).where("size(members) > 1").select("members")

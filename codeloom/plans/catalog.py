@@ -273,8 +273,7 @@ def shared_tables(a):
 @coded(None)
 def reading_order(a):
     """Depth-first post-order of the file graph: sequential, so there is no SQL for it."""
-    order, _ = filedeps.reading_order(a.file_node, a.file_need)
-    return a.spark.createDataFrame(list(enumerate(order, 1)), "position int, file string")
+    return filedeps.reading_order(a.file_node, a.file_need)[0]
 
 
 @coded(f"with {P}, {CALLS}, b as (select src x, dst y from c union select dst, src from c), h0 as (select 'EXT_PKG.DO_IT' node, 0 d), h1 as (select y node, 1 d from b join h0 on b.x = h0.node union select * from h0), h2 as (select y node, 2 d from b join h1 on b.x = h1.node union select * from h1) select node, cast(min(d) as integer) as distance from h2 group by node")
