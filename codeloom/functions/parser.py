@@ -8,6 +8,7 @@ goes on at the next statement or unit.
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 from collections import defaultdict
 from typing import Any
@@ -170,8 +171,31 @@ class Parser:
             if self.i == begin:
                 self.i += 1
         self.rows["count"] = [{"unit": u, "routine": r, "statements": n} for (u, r), n in sorted(self.stated.items())]
+        self.claim()
         return {k: v for k, v in self.rows.items() if v}
 
+    def claim(self) -> None:
+        """Each statement and call to the step whose span holds it: the narrowest, and of these the first linked."""
+        spans: dict[tuple[int, int], list[dict[str, Any]]] = defaultdict(list)
+        for s in self.rows["step"]:
+            if s["from_off"] is not None:
+                spans[s["unit"], s["routine"]].append(s)
+        for many in spans.values():
+            many.sort(key=lambda s: s["from_off"], reverse=True)
+        now: tuple[int, int] | None = None
+        live: list[tuple] = []
+        for row in sorted([*self.rows["sql"], *self.rows["call"]], key=lambda r: (r["unit"], r["routine"], r["offset"])):
+            key = row["unit"], row["routine"]
+            if key != now:
+                now, live = key, []
+            waiting = spans[key]
+            while waiting and waiting[-1]["from_off"] <= row["offset"]:
+                s = waiting.pop()
+                heapq.heappush(live, (s["to_off"] - s["from_off"], s["link_seq"], s["to_off"], s["path"]))
+            while live and live[0][2] <= row["offset"]:
+                heapq.heappop(live)
+            row["step"] = live[0][3] if live else None
+
     def alone(self, k: int) -> bool:
         t = self.t[k]
         a = self.src.rfind("\n", 0, t.start) + 1

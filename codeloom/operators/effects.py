@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import builtins
@@ -23,12 +23,14 @@ def steps(facts: Facts, unit: DataFrame, owner_of: DataFrame) -> DataFrame:
     return s.withColumn("depth", F.size("path")).withColumn("number", text(F.col("path"))).withColumn("parent_path", text(F.slice("path", 1, F.size("path") - 1)))
 
 
-def claim(step: DataFrame, item: DataFrame, key: list[str]) -> DataFrame:
-    """Each item (owner columns, key, offset) to the step whose span holds its offset; of several, the first linked."""
-    spans = step.where("from_off is not null").select(*OWNER, "path", "from_off", "to_off", "link_seq")
-    hit = item.select(*OWNER, *key, "offset").join(spans, OWNER).where("offset >= from_off and offset < to_off")
-    w = Window.partitionBy(*OWNER, *key).orderBy(F.col("to_off") - F.col("from_off"), "link_seq")
-    return hit.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*OWNER, *key, "path")
+def claim(item: DataFrame, key: list[str]) -> DataFrame:
+    """Each statement or call to the step that holds it, as the parser has found."""
+    return item.where("step is not null").select(*OWNER, *key, F.col("step").alias("path"))
+
+
+def above(path: Column) -> Column:
+    """The paths of all steps around one."""
+    return F.when(F.size(path) > 1, F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda k: F.slice(path, F.lit(1), k))).otherwise(F.array().cast("array<array<int>>"))
 
 
 def counted(facts: Facts) -> DataFrame:
@@ -49,15 +51,15 @@ def raises(step: DataFrame) -> DataFrame:
 
 
 def handlers(step: DataFrame) -> DataFrame:
-    """Handlers with what their descendants do; a descendant's path begins with the handler's."""
-    h = step.where("kind = 'HANDLER'").select("owner_id", *OWNER, F.col("path").alias("h"), "exceptions", "line", F.size("path").alias("n"))
-    d = step.where("kind <> 'HANDLER'").select(*OWNER, "path", "kind", "target", F.size("path").alias("m"))
-    both = h.join(d, OWNER, "left")
-    under = (F.col("m") > F.col("n")) & (F.slice("path", 1, F.col("n")) == F.col("h"))
-    some = lambda cond: F.coalesce(F.max(F.coalesce(under & cond, F.lit(False))), F.lit(False))
+    """Handlers with what the steps below them do."""
+    h = step.where("kind = 'HANDLER'").select("owner_id", *OWNER, F.col("path").alias("h"), "exceptions", "line")
+    # a step meets the handlers among the steps around it: one row for each, joined on equality
+    d = step.where("kind <> 'HANDLER'").select(*OWNER, F.explode(above(F.col("path"))).alias("h"), "kind", "target")
+    both = h.join(d, [*OWNER, "h"], "left")
+    some = lambda cond: F.coalesce(F.max(F.coalesce(cond, F.lit(False))), F.lit(False))
     out = both.groupBy("owner_id", *OWNER, "h", "exceptions", "line").agg(
         some(F.col("kind") == "RAISE").alias("reraises"),
-        (some(F.lit(True)) & ~some(F.col("kind") != "NULL")).alias("only_null"),
+        (some(F.col("kind").isNotNull()) & ~some(F.col("kind") != "NULL")).alias("only_null"),
         some(F.col("kind").isin("CALL", "SQL", "DYNAMIC_SQL")).alias("calls_routines"),
         some((F.col("kind") == "RETURN") & (F.col("target") == "value")).alias("returns_value"),
         some(F.col("kind").isin("COMMIT", "ROLLBACK")).alias("ends_transaction"),
@@ -116,8 +118,8 @@ def metrics(step: DataFrame, sql: DataFrame, call: DataFrame, routine: DataFrame
     )
     # nesting: a compound step counts one for itself and each compound ancestor
     c = step.where(F.col("kind").isin(*COMPOUND)).select("owner_id", *OWNER, "path")
-    above = c.select(*OWNER, F.col("path").alias("above"))
-    depth = c.join(above, OWNER).where(F.slice("path", 1, F.size("above")) == F.col("above")).groupBy("owner_id", *OWNER, "path").agg(F.count("*").alias("d"))
+    around = c.select("owner_id", *OWNER, "path", F.explode(F.concat(above(F.col("path")), F.array("path"))).alias("around"))
+    depth = around.join(c.select(*OWNER, F.col("path").alias("around")), [*OWNER, "around"]).groupBy("owner_id", *OWNER, "path").agg(F.count("*").alias("d"))
     nesting = depth.groupBy("owner_id").agg(F.max("d").alias("max_nesting"))
     q = sql.groupBy("owner_id").agg(F.count("*").alias("sql_statements"))
     k = call.groupBy("owner_id").agg(F.count("*").alias("calls"))

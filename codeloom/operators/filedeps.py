@@ -56,6 +56,13 @@ def shared_tables(use: DataFrame) -> DataFrame:
     return pair.groupBy("src", "dst").agg(F.lit("SHARED_TABLE").alias("type"), F.count("*").alias("count"), evidence(F.col("key")).alias("evidence"))
 
 
+def shared_with(use: DataFrame, file: str) -> DataFrame:
+    """SHARED_TABLE edges of one file: (file, count, evidence) of the others that use its tables, at least one writing."""
+    own = use.where(F.col("file") == file).select("key", F.col("w").alias("own_w"))
+    other = use.where(F.col("file") != file).join(F.broadcast(own), "key").where("w or own_w")  # the tables of one file
+    return other.groupBy("file").agg(F.count("*").alias("count"), evidence(F.col("key")).alias("evidence"))
+
+
 def file_nodes(file: DataFrame, unit: DataFrame, routine: DataFrame, edges: DataFrame) -> DataFrame:
     p = file.where("variant = 'primary'").select("file")
     units = unit.where("variant = 'primary'").groupBy("file").agg(F.sort_array(F.collect_set(F.concat("kind", F.lit(" "), F.upper("name")))).alias("units"))

@@ -1,7 +1,8 @@
 """Graphs as edge tables (src, dst): closure, strongly connected groups, levels, components, neighbourhoods.
 
-Every loop keeps its state in tables of the shared folder, so plans stay short and a lost executor loses nothing; the
-driver sees counts only.
+Strong components and levels of a graph of up to ``DRIVER_EDGES`` edges and nodes are found on the driver by one
+depth-first walk, which is sequential by nature. Beyond that, and for everything else, loops keep their state in tables of
+the shared folder, so plans stay short and a lost executor loses nothing, and the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.files import stash
 
+#: Edges, and nodes, of a graph that is walked on the driver.
+DRIVER_EDGES = 500_000
+
 
 def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """All (start, node) with a path of one edge or more, for the starts of a column ``start``; semi-naive rounds."""
@@ -44,8 +48,61 @@ def reachable(edges: DataFrame, start: str) -> DataFrame:
     return closure(edges, spark.createDataFrame([(start,)], "start string")).where(F.col("node") != start).select("node")
 
 
+def _held(edges: DataFrame, nodes: DataFrame) -> dict[str, list[str]] | None:
+    """Node to its targets, if the graph is small enough for the driver; targets that are no node are left out."""
+    names = [r["node"] for r in nodes.select("node").distinct().limit(DRIVER_EDGES + 1).collect()]
+    if len(names) > DRIVER_EDGES:
+        return None
+    pairs = [(r["src"], r["dst"]) for r in edges.select("src", "dst").distinct().limit(DRIVER_EDGES + 1).collect()]
+    if len(pairs) > DRIVER_EDGES:
+        return None
+    to: dict[str, list[str]] = {n: [] for n in names}
+    for a, b in pairs:
+        if a in to and b in to:
+            to[a].append(b)
+    return to
+
+
+def walk(to: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected groups, each after all that it leads to (an iterative depth-first walk with low links)."""
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    inside: set[str] = set()
+    groups = []
+    for root in to:
+        if root in order:
+            continue
+        work = [(root, iter(to[root]))]
+        order[root] = low[root] = len(order)
+        held.append(root)
+        inside.add(root)
+        while work:
+            node, rest = work[-1]
+            for n in rest:
+                if n not in order:
+                    order[n] = low[n] = len(order)
+                    held.append(n)
+                    inside.add(n)
+                    work.append((n, iter(to[n])))
+                    break
+                if n in inside:
+                    low[node] = min(low[node], order[n])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(held.pop())
+                        inside.discard(group[-1])
+                    groups.append(group)
+    return groups
+
+
 def _least(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-    """The least label that reaches each node along the edges: rounds of minimum with doubling along labels."""
+    """The least label that reaches each node along the edges; a round moves labels by one edge."""
     now = nodes.select("node", F.col(label).alias("low"))
     while True:
         moved = edges.join(now.toDF("src", "low"), "src").select(F.col("dst").alias("node"), "low").unionByName(now).groupBy("node").agg(F.min("low").alias("low"))
@@ -59,9 +116,13 @@ def _least(edges: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): component is the least node of its strongly connected group.
 
-    Trimming takes away nodes without an edge in or out, again and again; what is left is coloured forward with the
-    least node that reaches each, and from the node of each colour backward within the colour, which is a group.
+    A graph too large for the driver is trimmed: nodes without an edge in or out go, again and again; what is left is
+    coloured forward with the least node that reaches each, and from the node of each colour backward within the colour,
+    which is a group. That takes a round for each edge of the longest path, which call graphs keep short.
     """
+    to = _held(edges, nodes)
+    if to is not None:
+        return nodes.sparkSession.createDataFrame([(n, c) for g in walk(to) for c in [min(g)] for n in g], "node string, component string")
     e = edges.select("src", "dst").where("src <> dst").distinct()
     left = stash(nodes.select("node").distinct(), "nodes")
     e = stash(e, "edges")
@@ -113,6 +174,16 @@ def recursion_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def batches(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component, batch): 0 calls nothing outside its group, else one more than the highest batch called."""
+    to = _held(edges, nodes)
+    if to is not None:
+        level: dict[str, int] = {}
+        out = []
+        for group in walk(to):  # what a group leads to comes before it
+            own = set(group)
+            batch = max((level[n] + 1 for g in group for n in to[g] if n not in own), default=0)
+            level.update(dict.fromkeys(group, batch))
+            out += [(n, min(group), batch) for n in group]
+        return nodes.sparkSession.createDataFrame(out, "node string, component string, batch int")
     scc = strong_components(edges, nodes)
     c = stash(edges.join(scc.toDF("src", "a"), "src").join(scc.toDF("dst", "b"), "dst").where("a <> b").select("a", "b").distinct(), "condensed")
     level = stash(scc.select(F.col("component").alias("c")).distinct().withColumn("batch", F.lit(0)), "level")
@@ -138,18 +209,25 @@ def ranks(batch: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of the undirected graph; component is the least node. Each round a node takes the least label
-    among its neighbours and then its label's label, which halves long paths."""
+    """(node, component) of the undirected graph; component is the least node.
+
+    Each round every node takes the neighbour, or itself, of the least random priority, and edges are contracted to
+    those; that shrinks the graph by a constant factor whatever its shape, a long path included.
+    """
+    rank = lambda c, k: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("id"))
+    every = stash(nodes.select("node").union(edges.select("src")).union(edges.select("dst")).distinct(), "nodes")
     both = stash(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "both")
-    now = stash(nodes.select("node").unionByName(both.select(F.col("src").alias("node"))).distinct().withColumn("low", F.col("node")), "low")
-    while True:
-        near = both.join(now.toDF("src", "low"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("low").alias("near"))
-        hop = now.join(near, "node", "left").select("node", F.least("low", F.coalesce("near", "low")).alias("low"))
-        nxt = stash(hop.join(now.toDF("via", "further"), F.col("low") == F.col("via"), "left").select("node", F.least("low", F.coalesce("further", "low")).alias("low")), "low")
-        changed = nxt.join(now.toDF("node", "was"), "node").where("low <> was")
-        now = nxt
-        if changed.isEmpty():
-            return now.toDF("node", "component")
+    steps = []
+    while not both.isEmpty():
+        k = len(steps)
+        step = stash(both.groupBy("src").agg(F.min(rank("dst", k)).alias("m")).select(F.col("src").alias("node"), F.least("m", rank("src", k))["id"].alias("to")), "step")
+        steps.append(step)
+        both = stash(both.join(step.toDF("src", "a"), "src").join(step.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "both")
+    at = every.select("node", F.col("node").alias("to"))
+    for step in steps:
+        at = at.join(step.toDF("to", "further"), "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+    at = stash(at, "at")
+    return at.join(at.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
 
 
 def uncalled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -171,9 +249,14 @@ def neighbourhood(edges: DataFrame, start: str, hops: int) -> DataFrame:
 def table_impact(reads: DataFrame, writes: DataFrame, calls: DataFrame) -> DataFrame:
     """(table_key, role, node): readers and writers of each table, and who calls its writers, at any distance."""
     writers = writes.select("table_key", "node").distinct()
-    back = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    up = closure(back, writers.select(F.col("node").alias("start")).distinct()).toDF("writer", "node")
-    callers = writers.withColumnRenamed("node", "writer").join(up, "writer").select("table_key", "node").distinct().join(writers, ["table_key", "node"], "left_anti")
+    # closed for each table, so a table's callers meet once, however many writers lead to them
+    back = calls.select(F.col("dst").alias("node"), F.col("src").alias("up")).distinct()
+    seen = frontier = stash(writers, "front")
+    while not frontier.isEmpty():
+        found = frontier.join(back, "node").select("table_key", F.col("up").alias("node")).distinct().join(seen, ["table_key", "node"], "left_anti")
+        frontier = stash(found, "front")
+        seen = stash(seen.unionByName(frontier), "seen")
+    callers = seen.join(writers, ["table_key", "node"], "left_anti")
     tag = lambda df, role: df.select("table_key", F.lit(role).alias("role"), "node")
     return tag(reads.select("table_key", "node").distinct(), "READER").unionByName(tag(writers, "WRITER")).unionByName(tag(callers, "CALLER"))
 

@@ -100,8 +100,8 @@ class Analysis:
     def step_ref(self) -> DataFrame:
         """SQL and calls of each step."""
         key = resolve.OWNER
-        s = effects.claim(self.step, self.sql, ["stmt"]).join(self.sql.select(*key, "stmt", "kind"), [*key, "stmt"]).select(*key, "path", F.lit("sql").alias("what"), F.col("kind").alias("ref"))
-        c = effects.claim(self.step, self.call, ["seq"]).join(self.call.select(*key, "seq", F.array_join("parts", ".").alias("ref")), [*key, "seq"]).select(*key, "path", F.lit("call").alias("what"), "ref")
+        s = effects.claim(self.sql, ["stmt"]).join(self.sql.select(*key, "stmt", "kind"), [*key, "stmt"]).select(*key, "path", F.lit("sql").alias("what"), F.col("kind").alias("ref"))
+        c = effects.claim(self.call, ["seq"]).join(self.call.select(*key, "seq", F.array_join("parts", ".").alias("ref")), [*key, "seq"]).select(*key, "path", F.lit("call").alias("what"), "ref")
         return s.unionByName(c)
 
     @cached_property

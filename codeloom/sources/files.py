@@ -59,11 +59,11 @@ TABLES = {
     "routine": f"unit int, rid int, parent int, depth int, kind string, name string, forward boolean, has_body boolean, call_spec boolean, params {PARAMS}, return_type string, attributes array<string>, line int, end_line int, body_line int, signature string, docs array<string>, header_docs array<string>",
     "decl": f"unit int, routine int, kind string, name string, type string, is_const boolean, not_null boolean, default_text string, type_kind string, definition string, fields array<struct<name:string,type:string>>, params {PARAMS}, query string, error_code int, line int, end_line int",
     "exception_init": "unit int, routine int, name string, code int",
-    "sql": "unit int, routine int, seq int, kind string, context string, line int, end_line int, offset int, text string, binds array<string>, into array<string>, for_update boolean, bulk boolean, bulk_into boolean, in_loop boolean, dynamic boolean, dynamic_confidence string, dynamic_expression string, dynamic_kind string, concatenated boolean, asserted boolean, hint boolean, ctes array<string>, aliases array<string>",
+    "sql": "unit int, routine int, seq int, kind string, context string, line int, end_line int, offset int, text string, binds array<string>, into array<string>, for_update boolean, bulk boolean, bulk_into boolean, in_loop boolean, dynamic boolean, dynamic_confidence string, dynamic_expression string, dynamic_kind string, concatenated boolean, asserted boolean, hint boolean, step array<int>, ctes array<string>, aliases array<string>",
     "ref": "unit int, routine int, stmt int, ref int, schema string, table string, link string, alias string, access array<string>, writes array<string>, scope string, confidence string",
     "use": "unit int, routine int, stmt int, seq int, qualifier string, column string, first string, role string, scope string",
     "join": "unit int, routine int, stmt int, lq string, lc string, rq string, rc string, scope string, dynamic boolean",
-    "call": "unit int, routine int, seq int, parts array<string>, link string, line int, offset int, argc int, named array<string>, statement boolean, parens boolean, in_loop boolean, in_sql boolean, text string",
+    "call": "unit int, routine int, seq int, parts array<string>, link string, line int, offset int, argc int, named array<string>, statement boolean, parens boolean, in_loop boolean, in_sql boolean, text string, step array<int>",
     "step": "unit int, routine int, path array<int>, kind string, text string, label string, line int, end_line int, from_off int, to_off int, link_seq int, exception string, code int, code_text string, exceptions array<string>, counts boolean, bulk boolean, limit boolean, target string",
     "target": "unit int, routine int, name string, first string, second string, how string, line int",
     "effect": "unit int, routine int, kind string, detail string, line int",
