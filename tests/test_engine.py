@@ -99,3 +99,32 @@ def test_bad_syntax_is_not_verified_and_nothing_is_lost(spark, tmp_path):
     docs.write(b, str(tmp_path / "d"))
     assert verify.write(b, str(tmp_path / "d")) == "NOT_VERIFIED"
     assert ids(b.routine, "id") >= {"Q"}
+
+
+def test_facts_are_typed_and_pruned(a):
+    """A query of two columns of one table reads these columns of this table's files."""
+    plan = a.fact("sql").select("file", "kind")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "f_sql:struct<kind:string>" in plan and "tbl" in plan and "f_step" not in plan.split("ReadSchema")[1]
+    assert a.fact("sql").schema["step"].dataType.simpleString() == "array<int>"
+
+
+def test_long_lists_become_files_of_lines(a, tmp_path, monkeypatch):
+    monkeypatch.setattr(docs, "REPORT_ROWS", 3)
+    out = str(tmp_path / "long")
+    docs.write(a, out)
+    lines = [json.loads(x) for d, _, names in os.walk(f"{out}/analysis/nodes") for n in sorted(names) for x in open(f"{d}/{n}")]
+    assert {x["id"] for x in lines} == ids(a.node, "id") and len(lines) == a.node.count()
+    assert json.load(open(f"{out}/analysis/graph.json"))["nodes"] == [{"lines_in": "analysis/nodes/"}]
+    assert verify.links(out, a.spark).isEmpty()
+
+
+def test_known_names():
+    from codeloom.functions import builtins
+
+    for name in ("ora_hash", "xmltype", "cume_dist", "percent_rank", "sys_connect_by_path", "nls_upper", "existsnode", "sys_extract_utc"):
+        assert name in builtins.FUNCTIONS
+    import re
+
+    for name in ("ora_x", "xmldom", "xslprocessor", "wpg_docload", "anytype", "diutil", "ku$_job", "sa_user", "json_object_t", "dbms_sql"):
+        assert re.match(builtins.PACKAGE, name)
+    assert not re.match(builtins.PACKAGE, "orders_api")

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from codeloom.operators import graph
+from codeloom.operators import filedeps, graph
 
 
 def brute(n, edges):
@@ -72,3 +73,82 @@ def test_components_of_all_lines(spark, tmp_path):
     assert 1 < len(set(want.values())) < len(want) / 2
     got = catalog.QUERIES["components_all_lines"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+
+
+def brute_groups(nodes, edges):
+    """Strong components by reachability from every node, and levels by the longest path among them."""
+    to = {n: {b for a, b in edges if a == n and b in nodes} for n in nodes}
+
+    def reach(n):
+        seen, todo = set(), [n]
+        while todo:
+            for m in to[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    far = {n: reach(n) for n in nodes}
+    group = {n: min([n, *(m for m in far[n] if n in far[m])]) for n in nodes}
+    level = {}
+
+    def deep(g):
+        if g not in level:
+            level[g] = 0
+            level[g] = max((deep(group[b]) + 1 for n in nodes if group[n] == g for b in to[n] if group[b] != g), default=0)
+        return level[g]
+
+    return {n: (group[n], deep(group[n])) for n in nodes}
+
+
+@pytest.mark.parametrize("most", [500_000, 5])
+def test_groups_and_levels_equal_brute_force(spark, monkeypatch, most):
+    """On the driver, and by rounds over tables."""
+    monkeypatch.setattr(graph, "DRIVER_EDGES", most)
+    rnd = random.Random(3)
+    nodes = [f"n{k:02d}" for k in range(18)]
+    edges = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(22)] + [("n01", "gone")]
+    n = spark.createDataFrame([(x,) for x in nodes], "node string")
+    e = spark.createDataFrame(edges, "src string, dst string")
+    inside = e.join(n.toDF("dst"), "dst", "left_semi").select("src", "dst")
+    got = {r.node: (r.component, r.batch) for r in graph.batches(inside, n).collect()}
+    assert got == brute_groups(set(nodes), edges)
+
+
+def test_long_chain_and_ring(spark, monkeypatch):
+    """Ten thousand nodes in a row and in a ring: no round for each edge."""
+    name = lambda kind, k: f"{kind}{k:05d}"
+    chain = [(name("c", k), name("c", k + 1)) for k in range(9_999)]
+    ring = [(name("r", k), name("r", (k + 1) % 10_000)) for k in range(10_000)]
+    e = spark.createDataFrame(chain + ring, "src string, dst string")
+    n = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    made = []
+    keep = graph.stash
+    monkeypatch.setattr(graph, "stash", lambda df, tag="t": (made.append(tag), keep(df, tag))[1])
+    got = graph.components(e, n).groupBy("component").count().collect()
+    assert sorted(map(tuple, got)) == [("c00000", 10_000), ("r00000", 10_000)] and made.count("step") <= 20
+    b = graph.batches(e, n)
+    assert b.where("node like 'r%'").select("component", "batch").distinct().collect() == [("r00000", 0)]
+    assert {(r.node, r.batch) for r in b.where("node like 'c%'").collect()} == {(name("c", k), 9_999 - k) for k in range(10_000)}
+
+
+def test_callers_of_writers_for_each_table(spark):
+    writes = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "c")], "table_key string, node string")
+    reads = spark.createDataFrame([("t", "r")], "table_key string, node string")
+    calls = spark.createDataFrame([("x", "a"), ("y", "x"), ("a", "b"), ("x", "y"), ("z", "c")], "src string, dst string")
+    got = {tuple(r) for r in graph.table_impact(reads, writes, calls).collect()}
+    assert got == {("t", "READER", "r"), ("t", "WRITER", "a"), ("t", "WRITER", "b"), ("u", "WRITER", "c"), ("t", "CALLER", "x"), ("t", "CALLER", "y"), ("u", "CALLER", "z")}
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_reading_order_without_a_bound(spark, most):
+    """What a file needs comes before it, on the driver and by batches; cycles are reported either way."""
+    files = [f"f{k}" for k in range(8)]
+    needs = [("f0", "f1"), ("f1", "f2"), ("f3", "f1"), ("f4", "f5"), ("f5", "f4"), ("f6", "f4")]
+    nodes = spark.createDataFrame([(f,) for f in files], "file string")
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in needs], "src string, dst string, type string")
+    order, cycles = filedeps.reading_order(nodes, edges, most)
+    at = {r.file: r.position for r in order.collect()}
+    assert sorted(at.values()) == list(range(1, 9)) and all(at[b] < at[a] for a, b in needs if {a, b} != {"f4", "f5"})
+    assert [set(r.members) for r in cycles.collect()] == [{"f4", "f5"}]
+    use = spark.createDataFrame([("f0", "k", True), ("f1", "k", False), ("f2", "k", False), ("f0", "m", False), ("f1", "m", False)], "file string, key string, w boolean")
+    assert {r.file: r["count"] for r in filedeps.shared_with(use, "f1").collect()} == {"f0": 1}

@@ -118,3 +118,39 @@ def test_errors_do_not_lose_the_rest():
     r = parse("create procedure a is begin if x then null; end;\n/\ncreate procedure b is begin null; end;\n/\n")
     assert r["error"] and [x["name"] for x in r["routine"]][-1] == "b"
     assert parse("") == {} or "error" not in parse("")
+
+
+def test_long_texts_are_kept_whole():
+    """What stands past the first thousands of characters of a statement counts."""
+    wide = "x" * 5_000
+    body = f"begin\n execute immediate '{wide}' || p;\n update t set a = '{wide}', b = (select /*+ full(u) */ 1 from u);\n execute immediate 'drop table ' || sys.dbms_assert.simple_sql_name(p);\nend;"
+    r = parse(f"create procedure q(p varchar2) is\n{body}\n/")
+    first, update, third = r["sql"]
+    assert first["concatenated"] and not first["asserted"] and first["dynamic_expression"].endswith("|| p") and len(first["text"]) > 5_000
+    assert update["hint"] and len(update["text"]) > 5_000 and third["asserted"] and not first["hint"]
+
+
+def test_targets_of_multi_table_inserts():
+    for text, want in (
+        ("insert all when a > 1 then into t (a) values (a) else into u (a) values (a) select a from w", [("T", "INSERT"), ("U", "INSERT"), ("W", "READ")]),
+        ("insert first into t values (a) into u values (b) select a, b from w", [("T", "INSERT"), ("U", "INSERT"), ("W", "READ")]),
+        ("insert into t (a) select a into_ from w", [("T", "INSERT"), ("W", "READ")]),
+    ):
+        r = parse(f"begin\n {text};\nend;\n/")
+        assert [(x["table"], x["access"][0]) for x in r["ref"]] == want
+
+
+def test_steps_claim_their_statements():
+    """The narrowest step that holds a statement or call, by brute force over all spans."""
+    text = "create procedure q is\nbegin\n if f(1) = g(2) then\n  for r in (select a from t where b = h(1)) loop\n   k(m(3));\n   update t set a = n(1);\n  end loop;\n end if;\n case when f(4) = 1 then null; end case;\n forall i in 1 .. f(5) insert into t values (g(i));\nend;\n/"
+    r = parse(text)
+    for x in [*r["sql"], *r["call"]]:
+        held = [s for s in r["step"] if s["from_off"] is not None and s["from_off"] <= x["offset"] < s["to_off"]]
+        want = min(held, key=lambda s: (s["to_off"] - s["from_off"], s["link_seq"]), default=None)
+        assert x["step"] == (want and want["path"])
+    assert len(r["call"]) >= 8
+
+
+def test_a_cursors_parameters_are_no_columns():
+    r = parse("create procedure q is\n cursor c (p_x number) is select a from t where b = p_x;\nbegin\n null;\nend;\n/")
+    assert {u["column"] for u in r["use"]} == {"A", "B"} and r["sql"][0]["binds"] == ["p_x"]
