@@ -6,6 +6,7 @@ import random
 import statistics
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -72,7 +73,7 @@ def test_packing_edges(spark):
     """Null ids beside ids that no double holds, null and empty tokens, repeated rows, extra columns, an empty table."""
     rows = [(1, []), (2, [7] * 5), (2, [7] * 5), (3, list(range(40))), (None, [1, 2, 3]), (4, None), (BIG, [5, 6]), (BIG + 2, [8])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, ids array<int>, shard string, bin_id int")
-    out = packing.pack(df, F.col("doc_id"), F.col("ids"), capacities=(8, 16)).collect()
+    out = packing.pack(df, F.col("doc_id"), packing.encoded(F.col("ids")), capacities=(8, 16)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in out) == sorted((i is None, i or 0, n) for i, t in rows for n in ([16, 16, 8] if i == 3 else [len(t or [])]))
     assert all((r.bin_id is None) == (r.n_tokens == 0) and len(r.token_ids) == r.n_tokens for r in out)
     whole = sorted((r for r in out if r.doc_id == 3), key=lambda r: r.piece)
@@ -89,14 +90,14 @@ def test_packing_edges(spark):
             ends.append(r.bin_offset + r.n_tokens)
         assert ends[-1] == members[0].bin_used <= members[0].bin_capacity and members[0].bin_capacity == min(c for c in (8, 16) if c >= ends[-1])
     assert sorted((b[0].bin_used, b[0].bin_capacity) for b in bins.values()) == brute_best_fit([5, 5, 16, 16, 8, 3, 2, 1], (8, 16))
-    assert packing.pack(df.limit(0), F.col("doc_id"), F.col("ids")).count() == 0
+    assert packing.pack(df.limit(0), F.col("doc_id"), packing.encoded(F.col("ids"))).count() == 0
 
 
 def test_tokens_equal_the_library(spark, library):
     texts = ["Über alles", "", None, "x" * 5000, "a" + " " * 5000 + "b", "\n" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {r.k: r.t for r in df.select("k", packing.tokens(spark, F.col("text"), PATH, public_tokenizers.PATTERN).alias("t")).collect()}
-    assert got == {k: None if t is None else library.encode_ordinary(t) for k, t in enumerate(texts)}
+    assert {k: None if t is None else np.frombuffer(t, "<i4").tolist() for k, t in got.items()} == {k: None if t is None else library.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
 # --- licences
@@ -159,8 +160,6 @@ def test_features_and_trees():
     f = dict(zip(names, toxicity.features("You 1d10t QWXA zorking!!", lex), strict=True))
     assert f["terms"] == 1 and f["prefixes"] == 1 and f["obfuscated"] == 1 and f["exclaim"] > 0 and f["nearest"] > 0
     assert len(toxicity.features(None, lex)) == len(toxicity.features("", lex)) == len(names)
-    import numpy as np
-
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 3))
     y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
