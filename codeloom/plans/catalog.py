@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import filedeps, graph, link, rules, score
 from codeloom.plans.engine import Analysis, of_tables
-from codeloom.sources import synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
