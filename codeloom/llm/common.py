@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: An input of at most so many rows may be broadcast or collected; every caller checks or states its bound.
 BOUND_ROWS = 200_000
 #: Rows and bytes of an Arrow batch at most: a Python worker holds a batch of whole texts at once, and texts can be long.
-BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

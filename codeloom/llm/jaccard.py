@@ -19,7 +19,7 @@ N, THRESHOLD = 5, 0.8
 #: A pair at the threshold is found with this probability at least; and the largest signature allowed for it.
 RECALL, MOST_HASHES = 1 - 1e-5, 256
 #: Documents, and n-grams, of one tile of a group of candidates at most.
-TILE_MOST, TILE_GRAMS = 2048, 4_000_000
+TILE_MOST, TILE_GRAMS = 1024, 2_000_000
 WORD = re.compile(r"\w+")
 BLANK = " \t\n\r\f"
 
