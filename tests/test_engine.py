@@ -1,7 +1,9 @@
 import json
 import os
+import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from codeloom.operators import rules
@@ -128,3 +130,21 @@ def test_known_names():
     for name in ("ora_x", "xmldom", "xslprocessor", "wpg_docload", "anytype", "diutil", "ku$_job", "sa_user", "json_object_t", "dbms_sql"):
         assert re.match(builtins.PACKAGE, name)
     assert not re.match(builtins.PACKAGE, "orders_api")
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """What the driver plans at once is bounded: a scan has the columns of one fact table, a kept table few joins."""
+    plans, write = {}, DataFrameWriter.parquet
+
+    def put(self, path, *args, **named):
+        plans[re.sub(r"-[0-9a-f]{32}$", "", path.rsplit("/", 1)[-1])] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, path, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", put)
+    a = Analysis(spark.createDataFrame(list(FILES.items()), "file string, text string"))
+    for name in ("er_cluster", "effect", "missing", "confidence", "rank", "adjacency", "sentence", "step_ref", "package_overview", "uncalled", "impact"):
+        getattr(a, name)
+    scans = [s for p in plans.values() for s in re.findall(r"Relation \[([^\]]*)\]", p)]
+    assert max(len(set(re.findall(r"\bf_\w+", s))) for s in scans) == 1
+    joins = {k: len(re.findall(r"\bJoin (?:Inner|Left|Right|Full|Cross)", p)) for k, p in plans.items()}
+    assert max(joins.values()) <= 30, joins
