@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import graph
 from codeloom.operators.resolve import OWNER
+from codeloom.sources.files import stash
 
 
 def definitions(table_def: DataFrame, table_col: DataFrame, table_key: DataFrame, table_fk: DataFrame) -> dict[str, DataFrame]:
@@ -42,7 +43,9 @@ def model(defs: dict[str, DataFrame], ref: DataFrame, join: DataFrame) -> dict[s
     """
     use = ref.where("link is null").withColumn("name", F.upper("table_key"))
     names = use.select("name").union(defs["fk"].select(F.col("parent").alias("name"))).union(join.select(F.col("left_table").alias("name"))).union(join.select(F.col("right_table").alias("name")))
-    resolved = resolve_names(names, defs["entity"])
+    # each step is kept as a table: in one plan the parts below a relation would be planned again for each of its joins
+    defs = {k: stash(v, f"def-{k}") for k, v in defs.items()}
+    resolved = stash(resolve_names(names, defs["entity"]), "resolved")
     use = use.join(resolved, "name")
     write = F.size(F.array_except("access", F.array(F.lit("READ"), F.lit("LOCK")))) > 0
     usage = use.groupBy(F.col("entity").alias("table_key")).agg(F.sort_array(F.collect_set(F.when(F.arrays_overlap("access", F.array(F.lit("READ"), F.lit("LOCK"))), F.col("owner_id")))).alias("read_by"), F.sort_array(F.collect_set(F.when(write, F.col("owner_id")))).alias("written_by"))
@@ -50,6 +53,7 @@ def model(defs: dict[str, DataFrame], ref: DataFrame, join: DataFrame) -> dict[s
     seen = resolved.select(F.col("entity").alias("table_key")).distinct()
     none = F.array().cast("array<string>")
     entity = keys.join(seen, "table_key", "full_outer").join(usage, "table_key", "left").select("table_key", F.coalesce("in_ddl", F.lit(False)).alias("in_ddl"), F.coalesce("pk", none).alias("pk"), F.coalesce("uniques", F.array().cast("array<array<string>>")).alias("uniques"), F.coalesce("read_by", none).alias("read_by"), F.coalesce("written_by", none).alias("written_by"))
+    entity = stash(entity, "entity")
     read = use.select(F.col("entity").alias("table_key"), F.explode("read_cols").alias("name")).distinct().withColumn("is_read", F.lit(True))
     written = use.select(F.col("entity").alias("table_key"), F.explode("write_cols").alias("name")).where("name <> '*'").distinct().withColumn("is_written", F.lit(True))
     fk_cols = defs["fk"].select("table_key", F.explode("cols").alias("name")).distinct().withColumn("is_fk", F.lit(True))
@@ -57,6 +61,7 @@ def model(defs: dict[str, DataFrame], ref: DataFrame, join: DataFrame) -> dict[s
     col = declared_cols.join(read, ["table_key", "name"], "full_outer").join(written, ["table_key", "name"], "full_outer").join(fk_cols, ["table_key", "name"], "left").join(entity.select("table_key", "pk", "uniques"), "table_key", "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     col = col.select("table_key", "name", "type", flag(F.col("not_null")).alias("not_null"), flag(F.array_contains("pk", F.col("name"))).alias("is_pk"), flag(F.col("is_fk")).alias("is_fk"), flag(F.exists("uniques", lambda u: F.array_contains(u, F.col("name")))).alias("is_unique"), flag(F.col("in_ddl")).alias("in_ddl"), flag(F.col("is_read")).alias("is_read"), flag(F.col("is_written")).alias("is_written"), "at")
+    col = stash(col, "col")
     # declared
     child_keys = entity.select("table_key", F.col("pk").alias("c_pk"), F.col("uniques").alias("c_uniques"))
     parent_keys = entity.select(F.col("table_key").alias("to"), F.col("pk").alias("p_pk"))
@@ -65,6 +70,7 @@ def model(defs: dict[str, DataFrame], ref: DataFrame, join: DataFrame) -> dict[s
     same = lambda a, b: F.sort_array(a) == F.sort_array(b)
     one = same(F.col("cols"), F.col("c_pk")) | F.exists("c_uniques", lambda u: same(u, F.col("cols")))
     declared = d.select(F.col("table_key").alias("src"), F.col("to").alias("dst"), "cols", F.when(F.size("parent_cols") > 0, F.col("parent_cols")).otherwise(F.coalesce("p_pk", none)).alias("to_cols"), F.lit("DECLARED").alias("origin"), F.when(flag(one), "ONE_TO_ONE").otherwise("MANY_TO_ONE").alias("cardinality"), "required", F.lit(1).cast("long").alias("weight"), F.array(F.coalesce("name", F.lit("foreign key"))).alias("evidence"))
+    declared = stash(declared, "declared")
     # inferred
     j = join.join(resolved.toDF("left_table", "l"), "left_table").join(resolved.toDF("right_table", "r"), "right_table").where("l <> r")
     flip = F.col("l") > F.col("r")
@@ -79,7 +85,7 @@ def model(defs: dict[str, DataFrame], ref: DataFrame, join: DataFrame) -> dict[s
     inferred = out.groupBy("src", "dst", "cols", "to_cols", "cardinality").agg(F.countDistinct("seen").alias("weight"), F.slice(F.sort_array(F.collect_set("seen")), 1, 6).alias("evidence"))
     linked = declared.select("src", "dst").union(declared.select("dst", "src")).distinct()
     inferred = inferred.join(linked, ["src", "dst"], "left_anti").select("src", "dst", "cols", "to_cols", F.lit("INFERRED").alias("origin"), "cardinality", F.lit(False).alias("required"), "weight", "evidence")
-    relation = declared.unionByName(inferred)
+    relation = stash(declared.unionByName(inferred), "relation")
     return {"entity": entity, "col": col, "relation": relation}
 
 
