@@ -152,3 +152,14 @@ def test_reading_order_without_a_bound(spark, most):
     assert [set(r.members) for r in cycles.collect()] == [{"f4", "f5"}]
     use = spark.createDataFrame([("f0", "k", True), ("f1", "k", False), ("f2", "k", False), ("f0", "m", False), ("f1", "m", False)], "file string, key string, w boolean")
     assert {r.file: r["count"] for r in filedeps.shared_with(use, "f1").collect()} == {"f0": 1}
+
+
+def test_large_graph_stays_off_the_driver(spark, monkeypatch):
+    """A graph beyond the bound is counted, and no row of it collected."""
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(7)], "node string")
+    assert graph._held(edges, nodes)["n0"] == ["n1"]
+    rows = []
+    monkeypatch.setattr(type(edges), "collect", lambda self: rows.append(self) or [])
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 6)
+    assert graph._held(edges, nodes) is None and not rows
