@@ -286,6 +286,27 @@ def test_bpe_equals_the_library(codec, library, text):
     assert codec.decode(codec.encode(text)) == text.encode()
 
 
+def test_bpe_matches_and_memory(library, monkeypatch):
+    """Matches are those of the pattern's own library on all characters; a word that goes on coming is merged once."""
+    import regex
+
+    own, split = regex.compile(public_tokenizers.PATTERN).findall, bpe.splitter(public_tokenizers.PATTERN)
+    every = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    for joint in ("", " ", "  ", "a", "'s1"):
+        assert split(joint.join(every)) == own(joint.join(every))
+    assert split("x 😀𝒜𝟙\u3000 y") == own("x 😀𝒜𝟙\u3000 y")
+    for odd in (r"(?i:'S)|\w+", r"[[a-z]--[aeiou]]+", r"a\b|."):
+        assert bpe.splitter(odd)("a's b") == regex.compile(odd).findall("a's b")
+    merged, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda w, ranks: merged.append(w) or merge(w, ranks))
+    codec = bpe.Codec(bpe.read_ranks(open(PATH, "rb").read()), public_tokenizers.PATTERN, memory=10)
+    texts = [f" zqxzqxzq{'jkvw'[k % 4] * (k // 4 + 2)} vwkzjqhx" for k in range(60)] + [None, "", "tail 😀"]
+    got = [x for t in texts for x in codec.digests([t])]
+    want = [library.encode_ordinary(t or "") for t in texts]
+    assert got == list(codec.digests(texts)) == [(len(w), hashlib.sha256(",".join(map(str, w)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for t, w in zip(texts, want, strict=True)]
+    assert merged[: merged.index(b" zqxzqxzq" + b"w" * 16)].count(b" vwkzjqhx") == 1
+
+
 def test_bpe_long_runs_and_column(spark, codec, library):
     for text in ("a" * 3000, " " * 500 + "x", "ß" * 700, "1" * 999, "<|endoftext|>"):
         assert codec.encode(text) == library.encode_ordinary(text)
