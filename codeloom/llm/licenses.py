@@ -38,7 +38,7 @@ def canonical(text: str) -> str:
     return regex.sub(r"[ \n]+", " ", regex.sub(NOT_WORD, " ", t)).strip(" ")
 
 
-def digests(known: Iterable[tuple[str, str]] = KNOWN, more: Iterable[tuple[str, str]] = DIGESTS) -> dict[str, str]:
+def digests(known: Iterable[tuple[str, str]] = KNOWN, more: Iterable[tuple[str, str]] = ()) -> dict[str, str]:
     """Digest to identifier, of known texts and of texts known by their digests only. Two licences must not share one."""
     out: dict[str, str] = {}
     for name, d in [*((name, hashlib.sha256(canonical(text).encode()).hexdigest()) for name, text in known), *more]:
@@ -57,7 +57,7 @@ def scan(df: DataFrame, text: str = "text", known: Iterable[tuple[str, str]] = K
     ``df`` is shuffled.
     """
     spark = df.sparkSession
-    table = digests(known)
+    table = digests(known, DIGESTS)
     ids = spark.createDataFrame(sorted(table.items()), "__known string, __license string")
     df = df.drop(*(set(df.columns) & {"digest", "license_id", "notices", "n_notice_lines"}))
     by_digest = F.create_map(*(F.lit(x) for item in sorted(table.items()) for x in item))
@@ -76,7 +76,7 @@ def sql(known: Iterable[tuple[str, str]] = KNOWN) -> str:
     lines = f"regexp_replace(lower(coalesce(\"text\", '')), '{COPYRIGHT}', '', 'g')"
     for a, b in SPELLINGS:
         lines = f"replace({lines}, '{a}', '{b}')"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(digests(known).items()))
+    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(digests(known, DIGESTS).items()))
     return f"""
 with known(digest, license_id) as (values {values})
 , m as (select map(list(digest), list(license_id)) m from known)
