@@ -131,13 +131,13 @@ def compare_with_next(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE, mos
     A row goes to the task of its range, and the greatest of each range also to the range above, whose last row it
     follows. So texts are shuffled once, and a task holds one document and the next at a time. The driver holds some ten
     numbers for each range, and the executors a row for each; there are ``most_ranges`` at most, beyond which ranges
-    grow, which are sorted on disk. A null id sorts last; rows of one id are ordered by the hash of their texts, equal
-    texts follow each other. A null text is empty; other columns are ignored; an empty table gives no row.
+    grow, which are sorted on disk. A null id sorts last; rows of one id are ordered by the rising hash of their texts,
+    equal texts follow each other. A null text is empty; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     # the place decides between equal rows only, which are alike in every result
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.bitwise_not(F.xxhash64(text)).alias("h"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
     n = docs.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
