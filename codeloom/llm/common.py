@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 BOUND_ROWS = 200_000
 #: Rows and bytes of an Arrow batch at most: a Python worker holds a batch of whole texts at once, and texts can be long.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+#: Rows that a Parquet reader decodes at once, each column of them in one buffer that doubles as it grows: Spark's own 4,096
+#: texts of 130 KB are more than an executor's heap.
+READ_ROWS = 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches; plans are made when a result is read, so the bound stays for the session."""
+    """Bound the session's Arrow and Parquet batches; plans are made when a result is read, so the bounds stay for the
+    session."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
+    if int(spark.conf.get(key := "spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

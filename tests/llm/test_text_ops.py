@@ -559,3 +559,22 @@ def test_preferences_against_brute_force(spark):
         a, b = convs[2 * p], convs[2 * p + 1]
         n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert (got[p].prompt, got[p].chosen, got[p].rejected) == (say(a[:n]), say(a[n:]), say(b[n:]))
+
+
+# --- batches
+
+def test_batches_hold_few_long_texts(spark, tmp_path):
+    """A reader decodes few rows at once, whatever it was set to; a smaller number stays. Arrow batches are bounded too."""
+    from codeloom.llm.common import table
+
+    key, arrow = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(k, f"{k} " * 50_000, "x" * k) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    was = spark.conf.get(key)
+    try:
+        for given, left in (("4096", 16), ("5", 5)):
+            spark.conf.set(key, given)
+            assert sorted(map(tuple, table(spark, str(tmp_path), "documents").collect())) == rows
+            assert int(spark.conf.get(key)) == left and int(spark.conf.get(arrow).rstrip("b")) <= 8 << 20
+    finally:
+        spark.conf.set(key, was)
